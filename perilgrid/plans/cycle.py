@@ -41,5 +41,8 @@ def prediction_cycle(
 ) -> DataFrame:
     """Five hazards by three horizons for every region with valid readings up to ``cycle_at``."""
     buffer = last_readings(validated(readings), buffer_size, cycle_at)
-    scored = scored_hazards(fe.smooth(buffer, alpha), adjacency, **options)
+    # One small row per region.  The shuffle after it is what the context, the
+    # graph rounds and the hazards all reuse, so the buffer is built only once.
+    ema = fe.smooth(buffer, alpha).repartition("region_id")
+    scored = scored_hazards(ema, adjacency, **options)
     return pr.prediction_records(pr.judge(pr.fan_out_horizons(scored)), cycle_at)
