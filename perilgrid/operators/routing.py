@@ -18,8 +18,35 @@ def usable_edges(edges: DataFrame, two_way: DataFrame) -> DataFrame:
     return two_way.join(closed, "road_id", "left_anti")
 
 
+_TRIP = ["query_id", "region_id", "origin", "destination"]
+
+
+def _one_edge_further(best: DataFrame, hops: DataFrame, avoid: DataFrame | None, arrived: DataFrame, r: int) -> DataFrame:
+    """``best`` after labels improved in step ``r - 1`` are extended by one edge."""
+    front = best.filter((F.col("label.round") == r - 1) & (F.col("node") != F.col("destination")))
+    step = (
+        front.join(hops, "node")
+        .filter(~F.array_contains("label.path", F.col("to_node")))
+        .select(
+            *_TRIP, F.col("to_node").alias("node"),
+            F.struct(
+                (F.col("label.km") + F.col("km")).alias("km"),
+                F.concat("label.path", F.array("to_node")).alias("path"),
+                F.lit(r).alias("round"),
+            ).alias("label"),
+        )
+    )
+    if avoid is not None:
+        step = step.join(avoid, ["region_id", "node"], "left_anti")
+    step = step.join(arrived, "query_id", "left").filter(
+        F.col("limit_km").isNull() | (F.col("label.km") <= F.col("limit_km"))
+    )
+    both = best.unionByName(step.drop("limit_km"))
+    return both.groupBy(*_TRIP, "node").agg(F.min("label").alias("label"))
+
+
 def shortest_paths(
-    edges: DataFrame, trips: DataFrame, hazards: DataFrame | None = None, max_rounds: int = 10000
+    edges: DataFrame, trips: DataFrame, hazards: DataFrame | None = None, steps_per_write: int = 2, max_steps: int = 30000
 ) -> DataFrame:
     """Cheapest path of every trip (query_id, region_id, origin, destination).
 
@@ -28,53 +55,38 @@ def shortest_paths(
     tested.  Equal lengths are decided by the smaller node list.  Trips with no
     path give no row.
 
-    All trips advance together, one edge per round: only labels improved in the
-    last round are extended, a label longer than the trip's best known arrival
+    All trips advance together, one edge per step: only labels improved in the
+    last step are extended, a label longer than the trip's best known arrival
     is dropped, and the best label per (trip, node) is kept by an aggregate.
-    Each round is a reliable checkpoint, so the plan stays short and a lost
-    executor does not replay earlier rounds.
+    After every few steps the labels are written to the shared folder, so the
+    plan stays short and a lost executor does not replay earlier rounds.
     """
-    hops = edges.groupBy(F.col("from_node").alias("node"), "to_node").agg(F.min("distance_km").alias("km"))
-    hops = cut_lineage(hops)
-    trips = trips.select("query_id", "region_id", "origin", "destination")
+    hops = cut_lineage(
+        edges.groupBy(F.col("from_node").alias("node"), "to_node").agg(F.min("distance_km").alias("km"))
+    )
+    avoid = None
+    if hazards is not None:
+        avoid = cut_lineage(hazards.select("region_id", F.col("node_id").alias("node")).distinct())
     best = cut_lineage(
         trips.select(
-            "*", F.col("origin").alias("node"),
+            *_TRIP, F.col("origin").alias("node"),
             F.struct(F.lit(0.0).alias("km"), F.array("origin").alias("path"), F.lit(0).alias("round")).alias("label"),
         )
     )
-    where = ["query_id", "region_id", "origin", "destination"]
-    for r in range(1, max_rounds + 1):
+    r = 0
+    while r < max_steps:
         arrived = best.filter("node = destination").select("query_id", F.col("label.km").alias("limit_km"))
-        front = best.filter((F.col("label.round") == r - 1) & (F.col("node") != F.col("destination")))
-        step = (
-            front.join(hops, "node")
-            .select(
-                *where, F.col("to_node").alias("node"), F.array_contains("label.path", F.col("to_node")).alias("seen"),
-                F.struct(
-                    (F.col("label.km") + F.col("km")).alias("km"),
-                    F.concat("label.path", F.array("to_node")).alias("path"),
-                    F.lit(r).alias("round"),
-                ).alias("label"),
-            )
-            .filter(~F.col("seen"))
-            .drop("seen")
-        )
-        if hazards is not None:
-            avoid = hazards.select("region_id", F.col("node_id").alias("node"))
-            step = step.join(avoid, ["region_id", "node"], "left_anti")
-        step = step.join(arrived, "query_id", "left").filter(
-            F.col("limit_km").isNull() | (F.col("label.km") <= F.col("limit_km"))
-        )
-        merged = best.unionByName(step.drop("limit_km")).groupBy(*where, "node").agg(F.min("label").alias("label"))
-        best = cut_lineage(merged)
+        grown = best
+        for _ in range(steps_per_write):
+            r += 1
+            grown = _one_edge_further(grown, hops, avoid, arrived, r)
+        best = cut_lineage(grown)
         if best.filter(F.col("label.round") == r).isEmpty():
-            break
-    else:
-        raise RuntimeError("no fixed point within max_rounds; the result would be incomplete")
-    return best.filter("node = destination").select(
-        "query_id", "region_id", "origin", "destination", F.col("label.km").alias("graph_km"), F.col("label.path").alias("path")
-    )
+            return best.filter("node = destination").select(
+                "query_id", "region_id", "origin", "destination",
+                F.col("label.km").alias("graph_km"), F.col("label.path").alias("path"),
+            )
+    raise RuntimeError("no fixed point within max_steps; the result would be incomplete")
 
 
 def default_trips(regions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +27,7 @@ def local_session(cpus: int = 8, app: str = "perilgrid", **conf: str) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder reliable checkpoints go to.
+    """The folder that intermediate tables and stream checkpoints go to.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
     master may fall back to a temporary folder, because executors on other
@@ -46,14 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor costs a read and not a replay."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    """A fresh checkpoint location for one streaming query, under the shared folder."""
-    import uuid
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes the rows under the shared folder and reads them back.
 
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    A lost executor then costs a read and not a replay.  A written table is
+    used rather than ``checkpoint()`` because a checkpoint carries the size
+    estimate of its plan along; in a loop of joins that estimate multiplies
+    every round, while a table's size is that of its files.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

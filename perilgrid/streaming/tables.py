@@ -1,0 +1,59 @@
+"""Tables a stream keeps up to date from ``foreachBatch``.
+
+A micro-batch may run twice after a failure, so each write is addressed by the
+batch id: running a batch again replaces what it wrote and reads what it read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class VersionedTable:
+    """Small keyed state (one row, or a bounded few, per key).  Batch N writes version N whole."""
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path.rstrip("/"), schema
+
+    def _version(self, n: int) -> str:
+        return f"{self.path}/v{n}"
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The state that batch ``batch_id`` starts from."""
+        if batch_id == 0:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
+
+    def after(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self._version(batch_id))
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        """Stores version ``batch_id`` and lets go of the version no retry can need any more."""
+        df.write.mode("overwrite").parquet(self._version(batch_id))
+        if batch_id >= 2:
+            _delete(df.sparkSession, self._version(batch_id - 2))
+
+
+class AppendTable:
+    """Growing table with one folder per batch."""
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path.rstrip("/"), schema
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Rows of earlier batches; the filter prunes folders."""
+        if batch_id == 0:
+            return spark.createDataFrame([], self.schema)
+        return self.read(spark).filter(F.col("batch_id") < batch_id).drop("batch_id")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{self.schema}, batch_id bigint").parquet(self.path)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
