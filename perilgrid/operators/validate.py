@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import constants as K
-from perilgrid.functions.columns import clamp
+from perilgrid.functions.columns import clamp, sql_literal
 
 SENSOR_REQUIRED = ("sensor_id", "region_id", "reading_ts", "stream_status")
 SATELLITE_REQUIRED = ("image_id", "region_id", "provider", "captured_at", "received_at", "resolution_m")
@@ -187,40 +187,48 @@ CONTRACTS: dict[str, dict] = {
 def contract_violations(df: DataFrame, contract: str, value: str = "value") -> DataFrame:
     """Adds ``violations``: sorted texts such as ``enum:risk_level``; empty when the JSON keeps the contract.
 
-    Text that is not a JSON object gives the one violation ``json``.
+    Text that is not a JSON object gives the one violation ``json``.  The text
+    is parsed once, then each field's kind and number are read once into
+    columns of their own, which the rules share.
     """
     spec = CONTRACTS[contract]
+    fields = list(spec["fields"].items())
     df = df.withColumns({"_doc": F.try_parse_json(value), "_keys": F.json_object_keys(value)})
-    found: list[Column] = []
-    for name in spec["required"]:
-        found.append(F.when(~F.array_contains("_keys", name), F.lit(f"required:{name}")))
-    for name, rule in spec["fields"].items():
-        present = F.array_contains("_keys", name)
-        kind = F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant"))
-        is_null = present & F.coalesce(kind == "VOID", F.lit(True))
-        number = F.try_variant_get("_doc", f"$.{name}", "double")
-        text = F.try_variant_get("_doc", f"$.{name}", "string")
-        numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        right = {
-            "string": kind == "STRING",
-            "number": numeric,
-            "integer": numeric & (number == F.floor(number)),
-        }[rule["type"]]
-        wrong = present & ~is_null & ~F.coalesce(right, F.lit(False))
-        if not rule.get("null"):
-            wrong = wrong | is_null
-        found.append(F.when(wrong, F.lit(f"type:{name}")))
-        held = present & ~is_null & F.coalesce(right, F.lit(False))
+    read: dict[str, Column] = {}
+    for i, (name, rule) in enumerate(fields):
+        path = f"$.{name}"
+        read[f"_k{i}"] = F.when(
+            F.array_contains("_keys", name),
+            F.coalesce(F.schema_of_variant(F.try_variant_get("_doc", path, "variant")), F.lit("VOID")),
+        )
+        if rule["type"] == "string":
+            if "enum" in rule:
+                read[f"_v{i}"] = F.try_variant_get("_doc", path, "string")
+        else:
+            read[f"_v{i}"] = F.try_variant_get("_doc", path, "double")
+    df = df.withColumns(read)
+    rules = {f"required:{n}": f"not array_contains(_keys, '{n}')" for n in spec["required"]}
+    for i, (name, rule) in enumerate(fields):
+        k, v = f"_k{i}", f"_v{i}"
+        right = f"{k} = 'STRING'"
+        if rule["type"] != "string":
+            right = f"({k} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({k}, 'DECIMAL'))"
+        if rule["type"] == "integer":
+            right = f"({right} and {v} = floor({v}))"
+        rules[f"type:{name}"] = f"{k} <> 'VOID' and not {right}" if rule.get("null") else f"not {right}"
         if "enum" in rule:
-            inside = (text if rule["type"] == "string" else number).isin(*rule["enum"])
-            found.append(F.when(held & ~inside, F.lit(f"enum:{name}")))
+            inside = ", ".join(sql_literal(x) for x in rule["enum"])
+            rules[f"enum:{name}"] = f"{right} and {v} not in ({inside})"
         if "min" in rule:
-            found.append(F.when(held & (number < rule["min"]), F.lit(f"min:{name}")))
+            rules[f"min:{name}"] = f"{right} and {v} < {rule['min']}"
         if "max" in rule:
-            found.append(F.when(held & (number > rule["max"]), F.lit(f"max:{name}")))
-    extras = F.transform(
-        F.array_except("_keys", F.array(*[F.lit(n) for n in spec["fields"]])), lambda k: F.concat(F.lit("extra:"), k)
-    )
-    listed = F.array_sort(F.concat(F.array_compact(F.array(*found)), extras))
+            rules[f"max:{name}"] = f"{right} and {v} > {rule['max']}"
+    # Texts are joined in their sorted order; concat_ws leaves out the rules that hold.
+    known = ", ".join(f"'{n}'" for n, _ in fields)
+    extras = f"transform(array_sort(array_except(_keys, array({known}))), k -> concat('extra:', k))"
+    texts = {name: f"case when {broken} then '{name}' end" for name, broken in rules.items()}
+    texts["extra:"] = extras
+    joined = F.expr(f"concat_ws('\u0001', {', '.join(texts[name] for name in sorted(texts))})")
+    listed = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
     broken = F.col("_keys").isNull() | F.col("_doc").isNull()
-    return df.withColumn("violations", F.when(broken, F.array(F.lit("json"))).otherwise(listed)).drop("_doc", "_keys")
+    return df.withColumn("violations", F.when(broken, F.array(F.lit("json"))).otherwise(listed)).drop("_doc", "_keys", *read)
