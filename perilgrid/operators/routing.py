@@ -19,30 +19,60 @@ def usable_edges(edges: DataFrame, two_way: DataFrame) -> DataFrame:
 
 
 _TRIP = ["query_id", "region_id", "origin", "destination"]
+_LABEL = "struct<km:double,path:{nodes},round:int>"
 
 
-def _one_edge_further(best: DataFrame, hops: DataFrame, avoid: DataFrame | None, arrived: DataFrame, r: int) -> DataFrame:
-    """``best`` after labels improved in step ``r - 1`` are extended by one edge."""
-    front = best.filter((F.col("label.round") == r - 1) & (F.col("node") != F.col("destination")))
+def _trip_control(best: DataFrame, r: int) -> DataFrame:
+    """Trips still worth extending, with the length of their best meeting so far.
+
+    A trip whose two sides have not met can only succeed while both still grow,
+    so a dead end around either place settles it.
+    """
+    opened = lambda side: F.bool_or(F.coalesce(F.col(f"{side}.round") == r, F.lit(False)))
+    return (
+        best.groupBy("query_id")
+        .agg(F.min(F.col("f.km") + F.col("b.km")).alias("limit_km"), opened("f").alias("_f"), opened("b").alias("_b"))
+        .filter(F.col("limit_km").isNotNull() | (F.col("_f") & F.col("_b")))
+        .select("query_id", "limit_km")
+    )
+
+
+def _front(best: DataFrame, control: DataFrame, r: int) -> DataFrame:
+    """Labels improved in step ``r``, one row per side, less those past the half of the best meeting."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("label")) for s in ("f", "b")])
+    return (
+        best.select(*_TRIP, "node", F.inline(sides))
+        .filter(F.col("label.round") == r)
+        .join(control, "query_id")
+        .filter(F.col("limit_km").isNull() | (F.col("label.km") * 2 <= F.col("limit_km")))
+    )
+
+
+def _one_edge_further(best: DataFrame, hops: DataFrame, avoid: DataFrame | None, control: DataFrame, r: int) -> DataFrame:
+    """``best`` after the labels improved in step ``r - 1`` are extended by one edge."""
+    forward = F.col("side") == "f"
+    to = F.array("to_node")
     step = (
-        front.join(hops, "node")
+        _front(best, control, r - 1)
+        .join(hops, ["side", "node"])
         .filter(~F.array_contains("label.path", F.col("to_node")))
         .select(
-            *_TRIP, F.col("to_node").alias("node"),
+            *_TRIP, "side", F.col("to_node").alias("node"),
             F.struct(
                 (F.col("label.km") + F.col("km")).alias("km"),
-                F.concat("label.path", F.array("to_node")).alias("path"),
+                F.when(forward, F.concat("label.path", to)).otherwise(F.concat(to, "label.path")).alias("path"),
                 F.lit(r).alias("round"),
             ).alias("label"),
         )
     )
     if avoid is not None:
-        step = step.join(avoid, ["region_id", "node"], "left_anti")
-    step = step.join(arrived, "query_id", "left").filter(
-        F.col("limit_km").isNull() | (F.col("label.km") <= F.col("limit_km"))
-    )
-    both = best.unionByName(step.drop("limit_km"))
-    return both.groupBy(*_TRIP, "node").agg(F.min("label").alias("label"))
+        # searching back from the destination, the origin may be entered: it is not tested
+        step = step.join(avoid, ["region_id", "node"], "left").filter(
+            F.col("_bad").isNull() | (~forward & (F.col("node") == F.col("origin")))
+        )
+    added = step.select(*_TRIP, "node", *[F.when(F.col("side") == s, F.col("label")).alias(s) for s in ("f", "b")])
+    both = best.unionByName(added)
+    return both.groupBy(*_TRIP, "node").agg(F.min("f").alias("f"), F.min("b").alias("b"))
 
 
 def shortest_paths(
@@ -55,38 +85,58 @@ def shortest_paths(
     tested.  Equal lengths are decided by the smaller node list.  Trips with no
     path give no row.
 
-    All trips advance together, one edge per step: only labels improved in the
-    last step are extended, a label longer than the trip's best known arrival
-    is dropped, and the best label per (trip, node) is kept by an aggregate.
-    After every few steps the labels are written to the shared folder, so the
-    plan stays short and a lost executor does not replay earlier rounds.
+    All trips advance together from both ends, one edge per step.  Only labels
+    improved in the last step are extended, and only while they are within half
+    of the best meeting of the two sides: of a path of length L, each side
+    needs the nodes up to L/2 and one edge beyond.  The best label per trip,
+    node and side is kept by an aggregate.  After every few steps the labels
+    are written to the shared folder, so the plan stays short and a lost
+    executor does not replay earlier rounds.
     """
-    hops = cut_lineage(
-        edges.groupBy(F.col("from_node").alias("node"), "to_node").agg(F.min("distance_km").alias("km"))
-    )
+    there = F.struct(F.lit("f").alias("side"), F.col("from_node").alias("node"), F.col("to_node").alias("to_node"))
+    back = F.struct(F.lit("b").alias("side"), F.col("to_node").alias("node"), F.col("from_node").alias("to_node"))
+    hops = edges.groupBy("from_node", "to_node").agg(F.min("distance_km").alias("km"))
+    hops = cut_lineage(hops.select("km", F.inline(F.array(there, back))))
+    # a destination that may not be entered is never reached
+    ends = trips.select(*_TRIP)
     avoid = None
     if hazards is not None:
-        avoid = cut_lineage(hazards.select("region_id", F.col("node_id").alias("node")).distinct())
-    best = cut_lineage(
-        trips.select(
-            *_TRIP, F.col("origin").alias("node"),
-            F.struct(F.lit(0.0).alias("km"), F.array("origin").alias("path"), F.lit(0).alias("round")).alias("label"),
+        avoid = hazards.select("region_id", F.col("node_id").alias("node"), F.lit(True).alias("_bad")).distinct()
+        avoid = cut_lineage(avoid)
+        closed = avoid.withColumnRenamed("node", "destination")
+        ends = ends.join(closed, ["region_id", "destination"], "left").filter("_bad is null or origin = destination")
+    kind = _LABEL.format(nodes=f"array<{dict(trips.dtypes)['origin']}>")
+
+    def start(side: str, node: str) -> DataFrame:
+        label = F.struct(F.lit(0.0).alias("km"), F.array(node).alias("path"), F.lit(0).alias("round"))
+        return ends.select(
+            *_TRIP, F.col(node).alias("node"),
+            *[(label if s == side else F.lit(None)).cast(kind).alias(s) for s in ("f", "b")],
         )
-    )
+
+    seeds = start("f", "origin").unionByName(start("b", "destination"))
+    best = cut_lineage(seeds.groupBy(*_TRIP, "node").agg(F.min("f").alias("f"), F.min("b").alias("b")))
     r = 0
     while r < max_steps:
-        arrived = best.filter("node = destination").select("query_id", F.col("label.km").alias("limit_km"))
+        control = _trip_control(best, r)
+        if _front(best, control, r).isEmpty():
+            break
         grown = best
         for _ in range(steps_per_write):
             r += 1
-            grown = _one_edge_further(grown, hops, avoid, arrived, r)
+            grown = _one_edge_further(grown, hops, avoid, control, r)
         best = cut_lineage(grown)
-        if best.filter(F.col("label.round") == r).isEmpty():
-            return best.filter("node = destination").select(
-                "query_id", "region_id", "origin", "destination",
-                F.col("label.km").alias("graph_km"), F.col("label.path").alias("path"),
-            )
-    raise RuntimeError("no fixed point within max_steps; the result would be incomplete")
+    else:
+        raise RuntimeError("no fixed point within max_steps; the result would be incomplete")
+    met = best.filter("f is not null and b is not null").select(
+        *_TRIP,
+        F.struct(
+            (F.col("f.km") + F.col("b.km")).alias("km"), F.concat("f.path", F.expr("slice(b.path, 2, size(b.path))")).alias("path")
+        ).alias("route"),
+    )
+    return met.groupBy(*_TRIP).agg(F.min("route").alias("route")).select(
+        *_TRIP, F.col("route.km").alias("graph_km"), F.col("route.path").alias("path")
+    )
 
 
 def default_trips(regions: DataFrame, nodes: DataFrame) -> DataFrame:
