@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perilgrid.functions import constants as K
 from perilgrid.functions.columns import js_number, lookup, risk_rank
 from perilgrid.operators.board import latest_by_type
+from perilgrid.operators.skew import skew_safe_join
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:
@@ -102,8 +103,9 @@ def _risk_line(f: Column) -> Column:
 
 
 def answers(classified: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Adds the answer text.  The region side has one row per region, so no question is multiplied."""
-    df = classified.join(region_facts(predictions), "region_id", "left").withColumn("top", top_fact(F.col("facts")))
+    """Adds the answer text.  The region side has one row per region, so no
+    question is multiplied; a region that many ask about is split."""
+    df = skew_safe_join(classified, region_facts(predictions), ["region_id"], "left").withColumn("top", top_fact(F.col("facts")))
     hazard, top = F.col("disaster_type"), F.col("top")
     relevant = F.filter("facts", lambda f: hazard.isNull() | (f["disaster_type"] == hazard))
     listing = F.concat(

@@ -59,15 +59,21 @@ def event_timeline(events: DataFrame, n: int = 500, **filters) -> DataFrame:
 
 
 def predicted_vs_actual(predictions: DataFrame, outcomes: DataFrame, n: int = 500, **filters) -> DataFrame:
-    """Newest outcomes next to what was predicted."""
+    """Newest outcomes next to what was predicted.
+
+    Only the first ``n`` outcomes of one prediction can be among the first
+    ``n`` rows, so a prediction with very many outcomes is cut to ``n`` per map
+    task before the join; the result is the same.
+    """
     left = optional_filter(predictions, "generated_at", **filters).select(
         "prediction_id", "region_id", "disaster_type", "forecast_horizon_h",
         F.col("risk_level").alias("predicted_risk_level"),
         F.col("probability_pct").alias("predicted_probability_pct"), "generated_at",
     )
-    both = left.join(outcomes.select("prediction_id", "outcome_no", "actual_occurred", "actual_severity"), "prediction_id")
-    order = [F.col("generated_at").desc(), F.col("prediction_id").desc(), F.col("outcome_no"), F.col("actual_severity"), F.col("actual_occurred")]
-    return both.orderBy(*order).limit(n)
+    within = [F.col("outcome_no"), F.col("actual_severity"), F.col("actual_occurred")]
+    seen = outcomes.select("prediction_id", "outcome_no", "actual_occurred", "actual_severity")
+    both = left.join(latest_per_key(seen, ["prediction_id"], within, n), "prediction_id")
+    return both.orderBy(F.col("generated_at").desc(), F.col("prediction_id").desc(), *within).limit(n)
 
 
 def accuracy(predictions: DataFrame, outcomes: DataFrame, **filters) -> DataFrame:

@@ -8,35 +8,46 @@ from pyspark.sql import functions as F
 from perilgrid.functions.columns import epoch_micros
 
 
-def _salts(df: DataFrame) -> int:
-    return max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
+def hot_keys(df: DataFrame, keys: list[str], share: float | None = None) -> DataFrame:
+    """Keys with more than ``share`` of the rows, and ``_parts``, the number of
+    tasks such a key should be split over.
 
-
-def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
-    """Keys with more than ``share`` of the rows.  There are at most ``1/share``
-    of them whatever the data, so the result may be broadcast."""
+    By default a key is hot when it alone fills half of an even partition.
+    There are at most ``1/share`` hot keys whatever the data, which is twice the
+    number of shuffle partitions, so the result may be broadcast.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = share or 0.5 / partitions
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.agg(F.sum("_n").alias("t")).scalar()
-    return counts.filter(F.col("_n") > F.lit(share) * rows).select(*keys, F.lit(True).alias("_hot"))
+    parts = F.greatest(F.ceil(F.col("_n") * F.lit(float(partitions)) / rows), F.lit(2)).cast("int")
+    return counts.filter(F.col("_n") > F.lit(share) * rows).select(*keys, parts.alias("_parts"))
 
 
 def skew_safe_join(
-    many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", share: float = 0.01, salts: int | None = None
+    many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", share: float | None = None
 ) -> DataFrame:
     """Equi-join in which rows of ``many`` under a hot key go to several tasks.
 
-    Only hot keys are salted, and only their partners in ``few`` are copied, so
-    the plain rows pay nothing.  The salt is a hash of the row, which gives the
-    same value when a lost task is run again.
+    Only hot keys are salted, each by its own weight, and only their partners
+    in ``few`` are copied, so the plain rows pay nothing.  Rows with a null key
+    match nothing and are spread as well.  The salt is a hash of the row, which
+    gives the same value when a lost task is run again.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the side that is split must be the preserved one")
-    salts = salts or _salts(many)
     hot = F.broadcast(hot_keys(many, keys, share))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = many.join(hot, keys, "left").withColumn("_salt", spread).drop("_hot")
-    right = few.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    lost = F.lit(False)
+    for k in keys:
+        lost = lost | F.col(k).isNull()
+    parts = F.when(lost, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))).otherwise(
+        F.coalesce("_parts", F.lit(1))
+    )
+    left = many.join(hot, keys, "left")
+    hashed = [c for c, kind in many.dtypes if "map<" not in kind]
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), parts.cast("bigint"))).drop("_parts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)
+    right = few.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -84,14 +95,21 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, slice_
     )
 
 
-def sliced_lag(df: DataFrame, keys: list[str], ts: str, tie: str, slice_seconds: int = 3600) -> DataFrame:
+def sliced_lag(
+    df: DataFrame, keys: list[str], ts: str, tie: str, slice_seconds: int = 3600, fine_seconds: int = 1, share: float | None = None
+) -> DataFrame:
     """Adds ``prev_micros``, the time of the key's previous row.
 
-    The window runs per (key, slice); only the first row of a slice looks
-    further back, at the newest time of the key's earlier slices.
+    The window runs per (key, slice) of time; only the first row of a slice
+    looks further back, at the newest time of the key's earlier slices.  A
+    slice that holds more than ``share`` of all rows is cut into fine ones.
     """
-    micros = epoch_micros(F.col(ts))
-    cut = df.withColumn("_at", micros).withColumn("_slice", F.floor(F.col("_at") / (slice_seconds * 1000000)))
+    coarse, fine = slice_seconds * 1000000, fine_seconds * 1000000
+    start = lambda width: F.floor(F.col("_at") / width) * width
+    cut = df.withColumn("_at", epoch_micros(F.col(ts))).withColumn("_slice", start(coarse))
+    crowded = F.broadcast(hot_keys(cut, [*keys, "_slice"], share))
+    cut = cut.join(crowded, [*keys, "_slice"], "left")
+    cut = cut.withColumn("_slice", F.when(F.col("_parts").isNotNull(), start(fine)).otherwise(F.col("_slice"))).drop("_parts")
     ends = cut.groupBy(*keys, "_slice").agg(F.max("_at").alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_end")
     inside = F.lag("_at").over(Window.partitionBy(*keys, "_slice").orderBy("_at", tie))

@@ -235,6 +235,20 @@ def test_feed_gaps_across_slices(spark):
     assert got == {0: "ok", 1: "ok", 2: "degraded", 3: "unavailable", 4: "ok", 5: "unavailable", 9: "ok"}
 
 
+@pytest.mark.parametrize("share", [0.01, 0.5])
+def test_sliced_lag_against_brute_force(spark, share):
+    rnd = random.Random(6)
+    pts = [("a", i, at(seconds=rnd.randrange(0, 3000))) for i in range(200)] + [("b", 500 + i, at(minutes=rnd.randrange(0, 900))) for i in range(40)]
+    df = spark.createDataFrame(pts, "sensor_id string, reading_id int, reading_ts timestamp")
+    got = {r.reading_id: r.prev_micros for r in skew.sliced_lag(df, ["sensor_id"], "reading_ts", "reading_id", share=share).collect()}
+    want = {}
+    for s in "ab":
+        line = sorted((t, i) for k, i, t in pts if k == s)
+        for before, (t, i) in zip([None, *line], line):
+            want[i] = None if before is None else round(before[0].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert got == want
+
+
 def test_gov_payload_forms(spark):
     texts = ['{"record_id":"1","source":"s"}', ' [{"record_id":"2"},{"record_id":"3","fetched_at":"t"}]', "oops"]
     df = spark.createDataFrame([(t,) for t in texts], "payload string")
@@ -286,11 +300,18 @@ def test_skew_join_equals_plain_join(spark, how):
     many = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
     few = spark.range(60).select((F.col("id") % 30).alias("k"), (F.col("id") * 10).alias("v"))
     key = sorted if how in ("left_semi", "left_anti") else lambda x: sorted(x, key=str)
-    a = key([tuple(r) for r in skew.skew_safe_join(many, few, ["k"], how, salts=5).collect()])
+    a = key([tuple(r) for r in skew.skew_safe_join(many, few, ["k"], how, share=0.02).collect()])
     b = key([tuple(r) for r in many.join(few, ["k"], how).collect()])
     assert a == b and a
 
 
+def test_null_keys_are_kept_and_spread(spark):
+    many = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"))
+    few = spark.createDataFrame([(1, "x"), (None, "never")], "k bigint, v string")
+    a = sorted(map(str, skew.skew_safe_join(many, few, ["k"], "left").collect()))
+    assert a == sorted(map(str, many.join(few, ["k"], "left").collect()))
+
+
 def test_hot_keys_are_few(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, -1).otherwise(F.col("id")).alias("k"))
     assert [r.k for r in skew.hot_keys(df, ["k"]).collect()] == [-1]
@@ -298,9 +319,9 @@ def test_hot_keys_are_few(spark):
 
 def test_skew_join_spreads_the_hot_key(spark):
     many = spark.range(900).select("id", F.lit(1).alias("k"))
-    hot = F.broadcast(skew.hot_keys(many, ["k"]))
-    assert hot.count() == 1
-    joined = skew.skew_safe_join(many, spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], salts=6)
+    # the key holds all rows, so it is spread over all four partitions
+    assert [r._parts for r in skew.hot_keys(many, ["k"]).collect()] == [4]
+    joined = skew.skew_safe_join(many, spark.createDataFrame([(1, "x")], "k int, v string"), ["k"])
     assert joined.count() == 900
 
 
