@@ -383,7 +383,7 @@ BUFFER = """(select * from (select *, row_number() over (partition by region_id
 
 @query("w01_last_readings", ["sensor_readings"], f"select region_id, reading_id, recency from {BUFFER}")
 def last24(load):
-    return buffers.last_readings(load("sensor_readings")).select("region_id", "reading_id", "recency")
+    return buffers.last_readings(load("sensor_readings")).select("region_id", "reading_id", F.col("recency").cast("bigint").alias("recency"))
 
 
 @query("w02_latest_features", ["cnn_features"], """

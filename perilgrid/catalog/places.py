@@ -95,7 +95,35 @@ def shortest(load):
     return routing.shortest_paths(_edges(load), _trips(load), _hazards(load)).select("query_id", "graph_km")
 
 
-@query("r05_route_records")
+_ROUTES = f"""with recursive {TRIPS}, hz as materialized (select distinct region_id, node_id from ({HAZARD})),
+    ed as materialized (select a, b, min(km) as km from {OPEN_EDGES} group by 1, 2),
+    lab(query_id, region_id, destination, node, l) using key (query_id, node) as (
+        select query_id, region_id, destination, origin, {{'km': 0e0, 'path': [origin]}} from trips
+        union all
+        select query_id, region_id, destination, node, l from (
+            select p.query_id, p.region_id, p.destination, e.b as node,
+                   min({{'km': p.l.km + e.km, 'path': list_append(p.l.path, e.b)}}) as l
+            from lab p join ed e on e.a = p.node
+            where not exists (select 1 from hz where hz.region_id = p.region_id and hz.node_id = e.b)
+              and not list_contains(p.l.path, e.b) group by all) n
+        where n.l < coalesce((select x.l from recurring.lab x where x.query_id = n.query_id and x.node = n.node),
+                             {{'km': 1e9, 'path': []::bigint[]}})),
+    route as (select query_id, region_id, l.path as path from lab where node = destination),
+    named as (select node_id, lat, lon, coalesce(label, cast(node_id as varchar)) as label from road_nodes),
+    legs as (select query_id, sum(2 * 6371 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+                 + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) as km
+             from (select query_id, path, unnest(range(1, len(path))) as i from route) r
+             join named a on a.node_id = path[i] join named b on b.node_id = path[i + 1] group by 1),
+    avoid as (select region_id, string_agg(cast(node_id as varchar), ',' order by node_id) as avoids
+              from (select *, row_number() over (partition by region_id order by node_id) as rn from hz) where rn <= 5 group by 1)
+    select sha256(concat('route|', r.query_id)) as route_id, r.query_id, r.region_id, o.label as origin_label, d.label as destination_label,
+           (len(path) - 2)::int as n_waypoints, round(km, 2) as distance_km, round(km / 40 * 60, 1) as estimated_duration_min,
+           coalesce(avoids, '') as avoids, false as is_blocked
+    from route r join legs g on g.query_id = r.query_id join named o on o.node_id = path[1] join named d on d.node_id = path[-1]
+    left join avoid v on v.region_id = r.region_id"""
+
+
+@query("r05_route_records", ["road_nodes", "road_edges", "zones", "zone_edges"], _ROUTES)
 def route_records(load):
     hazards = _hazards(load)
     paths = routing.shortest_paths(_edges(load), _trips(load), hazards)

@@ -30,7 +30,7 @@ def _buffer(load):
 
 
 def _ema(load):
-    return fe.smooth(_buffer(load))
+    return fe.smooth(_buffer(load)).repartition("region_id")
 
 
 # --- check SQL building blocks ------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from perilgrid.functions import constants as K
 from perilgrid.operators import features as fe
@@ -35,12 +36,24 @@ def prediction_cycle(
     readings: DataFrame,
     adjacency: DataFrame,
     cycle_at: Column,
+    forecasts: DataFrame | None = None,
     buffer_size: int = K.BUFFER_SIZE,
     alpha: float = K.SMOOTHING,
     **options,
 ) -> DataFrame:
-    """Five hazards by three horizons for every region with valid readings up to ``cycle_at``."""
-    buffer = last_readings(validated(readings), buffer_size, cycle_at)
+    """Five hazards by three horizons for every region with valid readings up to ``cycle_at``.
+
+    ``forecasts`` (region_id, fetched_at) take places in the buffers as rows
+    without sensor values, as they do where both feeds share a topic; leave
+    them out to score readings only.
+    """
+    rows = validated(readings).select("region_id", "reading_id", "reading_ts", *K.SENSOR_FIELDS)
+    if forecasts is not None:
+        blank = forecasts.filter(F.coalesce("region_id", F.lit("")) != "").select(
+            "region_id", F.lit(None).cast("bigint").alias("reading_id"), F.col("fetched_at").alias("reading_ts")
+        )
+        rows = rows.unionByName(blank, allowMissingColumns=True)
+    buffer = last_readings(rows, buffer_size, cycle_at)
     # One small row per region.  The shuffle after it is what the context, the
     # graph rounds and the hazards all reuse, so the buffer is built only once.
     ema = fe.smooth(buffer, alpha).repartition("region_id")

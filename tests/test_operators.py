@@ -14,6 +14,7 @@ from perilgrid.functions import constants as K
 from perilgrid.functions.columns import haversine_km, js_number, lookup, point_in_ring, py_number
 from perilgrid.operators import alerts, ask, board, buffers, explain, geo, health, models, predict, reports, routing, skew, validate
 from perilgrid.operators import features as fe
+from perilgrid.plans.cycle import prediction_cycle
 from perilgrid.sources import sinks, streams, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -197,6 +198,18 @@ def test_horizon_discounts(spark):
     assert got == pytest.approx({6: 50.0, 24: 46.0, 72: 41.0, 48: 50.0})
 
 
+def test_forecasts_dilute_the_buffer(spark):
+    rows = readings(spark, {"rainfall_mm": 8.0, "soil_moisture_pct": 30.0}).withColumns({"sensor_id": F.lit("s"), "stream_status": F.lit("ok")})
+    near = spark.createDataFrame([], "region_id string, neighbour_id string, edge_weight double")
+    sky = spark.createDataFrame([("r2", at(5)), (None, at(5))], "region_id string, fetched_at timestamp")
+    plain = prediction_cycle(rows, near, F.lit(at(60)))
+    both = prediction_cycle(rows, near, F.lit(at(60)), forecasts=sky)
+    # a region known only by a forecast joins in with the zero vector
+    assert plain.count() == 15 and both.count() == 30
+    later = prediction_cycle(rows, near, F.lit(at(60)), forecasts=sky.withColumn("region_id", F.lit("r1")), buffer_size=1)
+    assert {round(r.probability_pct, 6) for r in later.filter("forecast_horizon_h = 6").collect()} == {50.0}
+
+
 def test_clamp(spark):
     row = one(validate.clamp_scores(spark.createDataFrame([(150.0, -5.0)], "probability_pct double, severity_index double")))
     assert (row.probability_pct, row.severity_index) == (100.0, 0.0)
