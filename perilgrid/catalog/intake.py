@@ -290,11 +290,11 @@ def weather_contract(load):
 
 @query("v07_alert_contract", ["dispatches"], f"""
     select prediction_id, {_listed(
-        ('enum:risk_level', "risk_level = 'Low'"), ('max:retry_count', 'prediction_id % 6 > 3'),
+        ('enum:risk_level', "risk_level = 'Low'"), ('max:retry_count', 'prediction_id % 17 <> 0 and prediction_id % 6 > 3'),
         ('enum:channel', 'prediction_id % 4 = 0'), ('required:language_code', 'prediction_id % 13 = 0'),
-        ('type:retry_count', 'prediction_id % 17 = 0 and prediction_id % 6 <= 3'),
+        ('type:retry_count', 'prediction_id % 17 = 0'),
         ('min:time_to_impact_h', 'prediction_id % 19 = 0'))} as violations
-    from dispatches where not (prediction_id % 17 = 0 and prediction_id % 6 > 3)""")
+    from dispatches""")
 def alert_contract(load):
     k = F.col("prediction_id")
     doc = F.to_json(F.struct(
@@ -303,8 +303,7 @@ def alert_contract(load):
         F.lit("go").alias("recommended_action"), F.when(k % 13 != 0, "en").alias("language_code"),
         F.when(k % 4 == 0, "pigeon").otherwise("sms").alias("channel"), F.col("dispatched_at").cast("string").alias("dispatched_at"),
         F.lit("sent").alias("delivery_status"), (k % 6 + F.when(k % 17 == 0, 0.5).otherwise(0.0)).alias("retry_count")))
-    rows = load("dispatches").filter(~((k % 17 == 0) & (k % 6 > 3)))
-    out = validate.contract_violations(rows.select("prediction_id", doc.alias("value")), "alert")
+    out = validate.contract_violations(load("dispatches").select("prediction_id", doc.alias("value")), "alert")
     return out.select("prediction_id", F.array_join("violations", ",").alias("violations"))
 
 

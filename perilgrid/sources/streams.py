@@ -32,9 +32,9 @@ def sensor_rows(raw: DataFrame, fill_time: bool = True, keep: tuple[str, ...] =
     """Typed readings with ``reject_field``: ``json`` for unreadable text or a
     value of the wrong type, else the first required field that is missing.
 
-    ``fill_time`` stamps readings without a time, as the poller does; the
-    validator, which sees the topic, turns it off and rejects them.  ``keep``
-    names columns beside ``value`` to carry along.
+    ``fill_time`` stamps readings without a time, as is right at intake; a check
+    further on turns it off and rejects them.  ``keep`` names columns beside
+    ``value`` to carry along.
     """
     df = _parsed(raw, schemas.SENSOR_JSON, keep)
     when = _time_or("timestamp", F.current_timestamp()) if fill_time else _time_or("timestamp", F.lit(None))

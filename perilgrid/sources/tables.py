@@ -9,9 +9,16 @@ from perilgrid.operators.skew import latest_per_key
 from perilgrid.operators.validate import optional_filter
 
 
-def read_table(spark: SparkSession, source: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A stored table; ``fmt='jdbc'`` with url and dbtable reads a database."""
+def read_table(
+    spark: SparkSession, source: str, fmt: str = "parquet", schema: str | None = None, **options: str
+) -> DataFrame:
+    """A stored table; ``fmt='jdbc'`` with url and dbtable reads a database.
+
+    ``perilgrid.schemas`` has the schema of each domain table; given one, files
+    without a schema of their own need no extra pass to infer it.
+    """
     reader = spark.read.format(fmt).options(**options)
+    reader = reader.schema(schema) if schema else reader
     return reader.load() if fmt == "jdbc" else reader.load(source)
 
 
