@@ -24,3 +24,46 @@ def op4_token_counts(spark, sf_dir):
     from perilgrid.llm.token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op2_url_filter(spark, sf_dir):
+    from perilgrid.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_secret_scan(spark, sf_dir):
+    from perilgrid.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    kinds = [
+        ("assign", """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+    ]
+    ctes, unions = ["t as (select doc_id, coalesce(text, '') as text, row_number() over () as rid from documents)"], []
+    for rank, (kind, pattern, group, least) in enumerate(kinds):
+        ctes.append(
+            f"""{kind}_m as (select rid, unnest(range(1, len(m) + 1)) as i, m, v, p from (select rid,
+            regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {group}) as v,
+            string_split_regex(text, '{pattern}') as p from t where regexp_matches(text, '{pattern}')))"""
+        )
+        ctes.append(
+            f"""{kind}_s as (select rid, {rank} as k, '{kind}' as kind, length(v[i]) as tested,
+            sum(length(p[i]) + length(m[i])) over (partition by rid order by i) as stop, length(m[i]) as n from {kind}_m)"""
+        )
+        unions.append(f"select rid, k, kind, stop - n as start, stop from {kind}_s where tested >= {least}")
+    return f"""with {", ".join(ctes)}, s as ({" union all ".join(unions)}),
+    g as (select rid, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, k) as spans,
+      count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+      count(*) filter (kind = 'hex') as n_hex from s group by rid)
+    select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+      sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from t left join g using (rid)"""
+
+
+CHECKS["op10_secret_scan"] = _secret_sql()
