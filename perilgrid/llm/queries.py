@@ -67,3 +67,26 @@ def _secret_sql() -> str:
 
 
 CHECKS["op10_secret_scan"] = _secret_sql()
+
+
+@_query
+def op5_line_dedup(spark, sf_dir):
+    from perilgrid.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@_query
+def op6_toxicity(spark, sf_dir):
+    from perilgrid.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op7_decontamination(spark, sf_dir):
+    from perilgrid.llm.decontaminate import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
