@@ -90,3 +90,12 @@ def op7_decontamination(spark, sf_dir):
     from perilgrid.llm.decontaminate import find_items
 
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op3_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from perilgrid.llm.pieces import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
