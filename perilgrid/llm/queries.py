@@ -99,3 +99,10 @@ def op3_sentencepiece(spark, sf_dir):
     from perilgrid.llm.pieces import round_trip
 
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op1_ngram_jaccard(spark, sf_dir):
+    from perilgrid.llm.parity_join import similar_texts
+
+    return similar_texts(_table(spark, sf_dir, "documents"))
