@@ -106,3 +106,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     from perilgrid.llm.parity_join import similar_texts
 
     return similar_texts(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_language_model(spark, sf_dir):
+    from perilgrid.llm.language_model import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
