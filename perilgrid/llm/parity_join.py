@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_shingles``, ``component_id``, ``set_hash`` for every row of ``docs``.
+    """``id``, ``n_shingles``, ``component_id``, ``text_hash`` for every row of ``docs``.
 
     Two texts link when 100 times the size of their sets' intersection is at least
     75 times that of their union; ``component_id`` is the least id reachable by
@@ -185,8 +185,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = _verified(pairs, nodes, texts)
         links = found if links is None else links.union(found)
         roots = components(links)
-    rows = sketched.join(roots, "node", "left").select("_id", "n", "node", F.coalesce("root", "node").alias("root"))
+    rows = sketched.join(roots, "node", "left").select("_id", "n", "hash", F.coalesce("root", "node").alias("root"))
     least = rows.filter("root is not null").groupBy("root").agg(F.min("_id").alias("least"))
     return rows.join(least, "root", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "_id").alias("component_id"), F.col("node").alias("set_hash")
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "_id").alias("component_id"), F.col("hash").alias("text_hash")
     )

@@ -113,3 +113,10 @@ def op9_language_model(spark, sf_dir):
     from perilgrid.llm.language_model import score_texts
 
     return score_texts(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_fingerprints(spark, sf_dir):
+    from perilgrid.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
