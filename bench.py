@@ -38,6 +38,10 @@ HEADLINE = [
     "q06_accuracy",
     "q07_seasonal_pattern",
     "t06_answers",
+    "t02_region_mention",
+    "k02_insert_if_absent",
+    "r04_shortest_paths",
+    "r05_route_records",
 ]
 
 

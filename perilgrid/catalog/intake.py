@@ -336,11 +336,18 @@ def gate(load):
 
 @query("h01_feed_gaps", ["sensor_readings"], """
     select reading_id, sensor_id, gap_s, case when gap_s >= 3600 then 'unavailable' when gap_s >= 1800 then 'degraded' else 'ok' end as status_before
-    from (select reading_id, sensor_id, (epoch_us(reading_ts) - epoch_us(lag(reading_ts) over (partition by sensor_id order by reading_ts, reading_id))) / 1e6 as gap_s
-          from sensor_readings)""")
+    from (select reading_id, sensor_id, (epoch_us(reading_ts) - epoch_us(lag(reading_ts) over w)) / 1e6 as gap_s
+          from (select reading_id, case when reading_id % 17 <> 0 then sensor_id end as sensor_id,
+                       case when reading_id % 19 <> 0 then reading_ts end as reading_ts from sensor_readings)
+          window w as (partition by sensor_id order by reading_ts nulls first, reading_id))""")
 def gaps(load):
-    return health.feed_gaps(load("sensor_readings").select("reading_id", "sensor_id", "reading_ts")).select(
-        "reading_id", "sensor_id", "gap_s", "status_before")
+    # some readings lack the sensor or the time; none may get lost
+    readings = load("sensor_readings").select(
+        "reading_id",
+        F.when(F.col("reading_id") % 17 != 0, F.col("sensor_id")).alias("sensor_id"),
+        F.when(F.col("reading_id") % 19 != 0, F.col("reading_ts")).alias("reading_ts"),
+    )
+    return health.feed_gaps(readings).select("reading_id", "sensor_id", "gap_s", "status_before")
 
 
 @query("h01_feed_status", ["sensor_readings"], f"""

@@ -14,7 +14,7 @@ from perilgrid.functions import constants as K
 from perilgrid.operators import buffers, explain
 from perilgrid.operators import features as fe
 from perilgrid.operators import predict as pr
-from perilgrid.operators.models import pixel_shares, with_head, with_model
+from perilgrid.operators.models import with_head, with_image_model, with_model
 from perilgrid.plans.cycle import prediction_cycle, scored_hazards
 from perilgrid.sources import tables
 
@@ -422,18 +422,10 @@ def score_head(load):
     return out.select("region_id", "disaster_type", six("raw_pct"))
 
 
-@query("u03_image_model", ["image_pixels"], f"select image_id, {_SHARES} from image_pixels group by 1")
+@query("u03_image_model", ["image_pixels"], f"""
+    select image_id, {_SHARES} from (select image_id, floor(r * 255e0 + 0.5e0) / 255e0 as r, floor(g * 255e0 + 0.5e0) / 255e0 as g,
+        floor(b * 255e0 + 0.5e0) / 255e0 as b from image_pixels) group by 1""")
 def image_model(load):
-    import numpy as np
-    import pandas as pd
-
-    def per_image(frames):
-        for pdf in frames:
-            rows = [(i, *pixel_shares(np.asarray(px, dtype="float64").reshape(-1, 3))) for i, px in zip(pdf["image_id"], pdf["px"])]
-            yield pd.DataFrame(rows, columns=["image_id", "flood_inundation_pct", "cloud_density", "vegetation_index"])
-
-    # an image is one row here as in the file source, so no grouping is needed
-    e = load("image_rows")
-    flat = e.mapInPandas(per_image, "image_id bigint, flood_inundation_pct double, cloud_density double, vegetation_index double")
-    return flat.select("image_id", six("flood_inundation_pct"), six("cloud_density"), six("vegetation_index"))
-
+    out = with_image_model(load("image_rows"))
+    return out.select(
+        F.col("image_id").cast("bigint").alias("image_id"), six("flood_inundation_pct"), six("cloud_density"), six("vegetation_index"))

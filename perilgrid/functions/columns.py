@@ -68,14 +68,38 @@ def risk_colour(risk: Column) -> Column:
     return lookup(risk, K.RISK_COLOUR, "Green")
 
 
+def _number(c: Column, least: int, most: int, whole: str, exponent_digits: int) -> Column:
+    """Shortest digits of a double, in plain notation for exponents from ``least`` up to ``most``."""
+    # Catalyst's own text has a digit, a point and an exponent outside [1e-3, 1e7)
+    sign = F.when(c < 0, "-").otherwise("")
+    text = F.abs(c.cast("double")).cast("string")
+    head = F.split_part(text, F.lit("E"), F.lit(1))
+    whole_part, fraction = F.split_part(head, F.lit("."), F.lit(1)), F.split_part(head, F.lit("."), F.lit(2))
+    raw = F.concat(whole_part, fraction)
+    digits = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")
+    zeros = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
+    shift = F.coalesce(F.nullif(F.split_part(text, F.lit("E"), F.lit(2)), F.lit("")).cast("int"), F.lit(0))
+    e = shift + F.length(whole_part) - 1 - zeros
+    n = F.length(digits)
+    plain = (
+        F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+        .when(n <= e + 1, F.concat(digits, F.repeat(F.lit("0"), e + 1 - n), F.lit(whole)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
+    )
+    mantissa = F.when(n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(exponent_digits)), F.lit("0")))
+    shown = F.when((e >= least) & (e < most), plain).otherwise(F.concat(mantissa, power))
+    return F.when(c == 0, "0" + whole).when(F.isnan(c.cast("double")) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(F.concat(sign, shown))
+
+
 def js_number(c: Column) -> Column:
-    """Number text without a trailing ``.0``: 4.0 prints as 4."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+    """A number as JavaScript prints it: 4.0 is 4, 0.0004 stays plain, 1e21 does not."""
+    return F.when(c.isNotNull(), _number(c, -6, 21, "", 1))
 
 
 def py_number(c: Column) -> Column:
-    """Number text that keeps ``.0``: 4.0 prints as 4.0."""
-    return c.cast("string")
+    """A number as Python prints it: 4.0 stays 4.0, 1e16 and 1e-05 have exponents."""
+    return F.when(c.isNotNull(), _number(c, -4, 16, ".0", 2))
 
 
 def fill(template: Column, variables: dict[str, Column]) -> Column:

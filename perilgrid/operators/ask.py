@@ -40,7 +40,7 @@ def asked_regions(questions: DataFrame, regions: DataFrame, keys: list[str]) ->
     into all its substrings of the lengths that region ids have (a short list,
     read as a scalar), and those are matched with the ids.
     """
-    lengths = regions.agg(F.array_sort(F.collect_set(F.length("region_id")))).scalar()
+    lengths = regions.agg(F.array_sort(F.collect_set(F.length(F.lower("region_id"))))).scalar()
     q = F.lower("question")
     # a text shorter than a length gives none of that length
     pieces = F.flatten(

@@ -55,23 +55,24 @@ def blockage_sessions(reports: DataFrame, gap_seconds: int = 600) -> DataFrame:
     """Quiet-period debounce per region: each report moves the deadline, the
     recompute falls ``gap_seconds`` after the last one.
 
-    Reports are first folded into minutes.  The gap is longer than a minute, so
-    reports of one minute always share a session and the rows left per region
-    are bounded by time, not by the number of reports.
+    Reports are first folded into slices of a minute, or of the gap if that is
+    shorter.  Reports of one slice always share a session, so the rows left per
+    region are bounded by time, not by the number of reports.
     """
-    if gap_seconds < 60:
-        raise ValueError("the gap must be at least a minute")
+    if gap_seconds <= 0:
+        raise ValueError("the gap must be positive")
+    width = int(min(60, gap_seconds) * 1000000)
     at = epoch_micros(F.col("reported_at"))
-    minutes = (
+    slices = (
         reports.filter(F.col("region_id").isNotNull())
-        .groupBy("region_id", F.floor(at / 60000000).alias("minute"))
+        .groupBy("region_id", F.floor(at / width).alias("slice"))
         .agg(F.min("reported_at").alias("first_at"), F.max("reported_at").alias("last_at"), F.count(F.lit(1)).alias("n"))
     )
-    by_region = Window.partitionBy("region_id").orderBy("minute")
+    by_region = Window.partitionBy("region_id").orderBy("slice")
     gap = epoch_micros(F.col("first_at")) - epoch_micros(F.lag("last_at").over(by_region))
     opened = F.when(gap < gap_seconds * 1000000, 0).otherwise(1)
     return (
-        minutes.withColumn("opened", opened)
+        slices.withColumn("opened", opened)
         .withColumn("session", F.sum("opened").over(by_region))
         .groupBy("region_id", "session")
         .agg(F.min("first_at").alias("first_report"), F.max("last_at").alias("last_report"), F.sum("n").alias("n_reports"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,16 +167,13 @@ def hazard_vectors(ema: DataFrame, routed_only: bool = True) -> DataFrame:
 def attention_context(vectors: DataFrame, temperature: float = 1.0) -> DataFrame:
     """One row: the softmax-weighted mean of all region vectors.
 
-    Softmax does not change when all scores move by a constant.  Unit vectors
-    bound a score by |query|/T, and that bound serves as the constant, so the
-    mean is one partial-plus-final aggregate; only for a very small T, where
-    the bound would underflow, is the true maximum looked up first.
+    Softmax does not change when all scores move by a constant, which here is
+    the greatest score: one aggregate over a row per region.
     """
     if temperature <= 0:
         raise ValueError(f"temperature must be > 0, got {temperature}")
-    bound = math.sqrt(sum(q * q for q in K.QUERY_VECTOR)) / temperature
     score = dot("vec", K.QUERY_VECTOR) / F.lit(temperature)
-    shift = F.lit(bound) if bound < 300 else vectors.agg(F.max(score).alias("m")).scalar()
+    shift = vectors.agg(F.max(score).alias("m")).scalar()
     weighed = vectors.select("vec", F.exp(score - shift).alias("w"))
     sums = weighed.agg(
         F.sum("w").alias("z"), weighted_sums("w", "vec").alias("s")
@@ -195,23 +190,21 @@ def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degrade
     """Message passing over the region graph: 0.6 of the own vector, 0.4 of the
     neighbours' softmax-weighted mean; all regions update at once.
 
-    Edge weights are proximities in [0, 1] and vectors have length at most one,
-    so scores are small and need no shift; a weight far outside is refused
-    rather than summed wrongly.  Sums are pre-aggregated before the shuffle, so
-    a hub region costs no more than any other.
+    Each region's scores are shifted by their greatest before the exponential,
+    so any edge weight will do.  Both the greatest score and the sums are
+    pre-aggregated before their shuffle; a hub's edges in the joins are left to
+    adaptive execution, which splits them.
     """
     if degraded:
         return vectors
-    weight = F.when(F.abs("edge_weight") > 100, F.raise_error(F.lit("edge weight out of range")).cast("double")).otherwise(
-        F.col("edge_weight")
-    )
-    edges = adjacency.select(F.col("region_id"), F.col("neighbour_id"), weight.alias("edge_weight"))
+    edges = adjacency.select("region_id", "neighbour_id", "edge_weight")
     for _ in range(rounds):
         theirs = vectors.select(F.col("region_id").alias("neighbour_id"), F.col("vec").alias("nvec"))
-        e = F.exp(dot("nvec", K.GRAPH_VECTOR) * F.col("edge_weight"))
+        scored = edges.join(theirs, "neighbour_id").withColumn("score", dot("nvec", K.GRAPH_VECTOR) * F.col("edge_weight"))
+        top = scored.groupBy("region_id").agg(F.max("score").alias("top"))
         mail = (
-            edges.join(theirs, "neighbour_id")
-            .withColumn("e", e)
+            scored.join(top, "region_id")
+            .withColumn("e", F.exp(F.col("score") - F.col("top")))
             .groupBy("region_id")
             .agg(F.sum("e").alias("z"), weighted_sums("e", "nvec").alias("sums"))
         )

@@ -76,7 +76,7 @@ def _one_edge_further(best: DataFrame, hops: DataFrame, avoid: DataFrame | None,
 
 
 def shortest_paths(
-    edges: DataFrame, trips: DataFrame, hazards: DataFrame | None = None, steps_per_write: int = 2, max_steps: int = 30000
+    edges: DataFrame, trips: DataFrame, hazards: DataFrame | None = None, steps_per_write: int = 2
 ) -> DataFrame:
     """Cheapest path of every trip (query_id, region_id, origin, destination).
 
@@ -117,7 +117,7 @@ def shortest_paths(
     seeds = start("f", "origin").unionByName(start("b", "destination"))
     best = cut_lineage(seeds.groupBy(*_TRIP, "node").agg(F.min("f").alias("f"), F.min("b").alias("b")))
     r = 0
-    while r < max_steps:
+    while True:
         control = _trip_control(best, r)
         if _front(best, control, r).isEmpty():
             break
@@ -126,8 +126,6 @@ def shortest_paths(
             r += 1
             grown = _one_edge_further(grown, hops, avoid, control, r)
         best = cut_lineage(grown)
-    else:
-        raise RuntimeError("no fixed point within max_steps; the result would be incomplete")
     met = best.filter("f is not null and b is not null").select(
         *_TRIP,
         F.struct(

@@ -17,7 +17,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float | None = None) -> Data
     number of shuffle partitions, so the result may be broadcast.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = share or 0.5 / partitions
+    share = max(share or 0.0, 0.5 / partitions)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.agg(F.sum("_n").alias("t")).scalar()
     parts = F.greatest(F.ceil(F.col("_n") * F.lit(float(partitions)) / rows), F.lit(2)).cast("int")
@@ -66,7 +66,8 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, slice_
     rows are first counted per (key, time); running counts are then taken
     within (key, slice) and shifted by the count of all earlier slices, and the
     trailing count is the running count at ``ts`` less the one just before the
-    window opens.  A group holds at most one slice of distinct times.
+    window opens.  The one window over a whole key runs over its slices, whose
+    number is bounded by time.
     """
     width, step = seconds * 1000000, slice_seconds * 1000000
     points = df.groupBy(*keys, epoch_micros(F.col(ts)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
@@ -103,6 +104,8 @@ def sliced_lag(
     The window runs per (key, slice) of time; only the first row of a slice
     looks further back, at the newest time of the key's earlier slices.  A
     slice that holds more than ``share`` of all rows is cut into fine ones.
+    As with ``lag``, a null key is a key of its own and rows without a time come
+    first, so no row is lost.
     """
     coarse, fine = slice_seconds * 1000000, fine_seconds * 1000000
     start = lambda width: F.floor(F.col("_at") / width) * width
@@ -113,9 +116,13 @@ def sliced_lag(
     ends = cut.groupBy(*keys, "_slice").agg(F.max("_at").alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_end")
     inside = F.lag("_at").over(Window.partitionBy(*keys, "_slice").orderBy("_at", tie))
+    left = cut.withColumn("_in", inside)
+    same = F.lit(True)
+    for k in (*keys, "_slice"):
+        same = same & left[k].eqNullSafe(ends[k])
     return (
-        cut.withColumn("_in", inside)
-        .join(ends, [*keys, "_slice"])
+        left.join(ends, same)
+        .select(*[left[c] for c in left.columns], ends["_before"])
         .withColumn("prev_micros", F.coalesce("_in", "_before"))
         .drop("_in", "_before", "_slice")
         .withColumnRenamed("_at", "at_micros")

@@ -20,14 +20,12 @@ def publish(df: DataFrame, key: str, path: str | None = None, fmt: str = "json",
     w.save() if path is None else w.mode("append").save(path)
 
 
-def absent_rows(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored yet, each key once."""
-    return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def first_per_key(new: DataFrame, stored: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Rows whose key is not stored yet, each key once: the first by ``order``.
 
-
-def first_per_key(new: DataFrame, stored: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """As ``absent_rows``, with the surviving row among duplicates fixed by ``order``."""
-    return latest_per_key(new, [key], order).join(stored.select(key), key, "left_anti")
+    Without an order the row's JSON decides, so that a repeated run picks the same row.
+    """
+    return latest_per_key(new, [key], order or [F.to_json(F.struct("*"))]).join(stored.select(key), key, "left_anti")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, replace: list[str]) -> DataFrame:

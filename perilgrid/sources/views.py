@@ -253,10 +253,10 @@ _RING = ((0.0, 0.0), (0.33, 0.01), (0.3, 0.09), (0.15, 0.05), (0.02, 0.1))
 DERIVED_SQL: dict[str, str] = {
     "image_pixels": """
         select vec_id as image_id, i as pixel_no,
-               least(greatest(cast(embedding[3 * i + 1] as double) * 2e0 + 0.5e0, 0e0), 1e0) as r,
-               least(greatest(cast(embedding[3 * i + 2] as double) * 2e0 + 0.5e0, 0e0), 1e0) as g,
-               least(greatest(cast(embedding[3 * i + 3] as double) * 2e0 + 0.5e0, 0e0), 1e0) as b
-        from (select vec_id, embedding, unnest(range(0, 21)) as i from embeddings)""",
+               least(greatest(cast(embedding[i + 1] as double) * 2e0 + 0.5e0, 0e0), 1e0) as r,
+               least(greatest(cast(embedding[(i + 1) % len(embedding) + 1] as double) * 2e0 + 0.5e0, 0e0), 1e0) as g,
+               least(greatest(cast(embedding[(i + 2) % len(embedding) + 1] as double) * 2e0 + 0.5e0, 0e0), 1e0) as b
+        from (select vec_id, embedding, unnest(range(0, len(embedding))) as i from embeddings)""",
     "road_edges": """
         select a.s_suppkey * 100 + d as edge_id, a.s_suppkey as from_node, b.s_suppkey as to_node,
                1e0 + cast((a.s_suppkey * 7 + b.s_suppkey * 3) % 11 as double) as distance_km,
@@ -347,23 +347,32 @@ def with_views(names: list[str], body: str) -> str:
 
 
 def _image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pixel per component of the vector; its colours are the component and the two after it, round the end."""
     e = base(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pixel_no")
+        F.col("vec_id").alias("image_id"), "embedding", F.posexplode("embedding").alias("pixel_no", "_")
     )
+    return e.select("image_id", "pixel_no", *[_shade("embedding", F.col("pixel_no"), c).alias("rgb"[c]) for c in range(3)])
 
-    def channel(c: int):
-        raw = F.element_at("embedding", F.col("pixel_no") * 3 + 1 + c).cast("double")
-        return F.least(F.greatest(raw * 2.0 + 0.5, F.lit(0.0)), F.lit(1.0))
 
-    return e.select("image_id", "pixel_no", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+def _shade(vector: str, place, channel: int):
+    raw = F.element_at(vector, ((place + channel) % F.size(vector) + 1).cast("int")).cast("double")
+    return F.least(F.greatest(raw * 2.0 + 0.5, F.lit(0.0)), F.lit(1.0))
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per image with its pixels as one flat array r, g, b, r, g, b, ..."""
-    scaled = F.transform(
-        F.slice("embedding", 1, 63), lambda x: F.least(F.greatest(x.cast("double") * 2.0 + 0.5, F.lit(0.0)), F.lit(1.0))
+    """The pixels of each image as Spark's ``image`` source gives them: one row high, bytes in the order b, g, r."""
+    byte = lambda x: F.lpad(F.hex(F.floor(x * 255.0 + 0.5).cast("bigint")), 2, "0")
+    pixel = lambda _, i: F.concat(*[byte(_shade("embedding", i, c)) for c in (2, 1, 0)])
+    return base(spark, sf_dir, "embeddings").select(
+        F.struct(
+            F.col("vec_id").cast("string").alias("origin"),
+            F.lit(1).alias("height"),
+            F.size("embedding").alias("width"),
+            F.lit(3).alias("nChannels"),
+            F.lit(16).alias("mode"),
+            F.unhex(F.array_join(F.transform("embedding", pixel), "")).alias("data"),
+        ).alias("image")
     )
-    return base(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), scaled.alias("px"))
 
 
 def _road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from perilgrid.operators import board, buffers, health, reports, validate
 from perilgrid.operators.skew import latest_per_key
 from perilgrid.plans.cycle import prediction_cycle
 from perilgrid.sources import sinks, streams
-from perilgrid.streaming.tables import AppendTable, VersionedTable
+from perilgrid.streaming.tables import AppendTable, VersionedTable, exists
 
 LATENESS = "2 hours"
 
@@ -40,10 +40,13 @@ BOARD = (
 
 
 def validated_stream(raw: DataFrame) -> DataFrame:
-    """Raw JSON readings to the validated feed."""
-    return validate.flag_anomalous(streams.sensor_rows(raw, fill_time=False).filter("reject_field is null")).filter(
-        "not is_anomalous"
-    ).drop("reject_field", "value")
+    """Raw JSON readings to the validated feed, each with an id made of its sensor and time."""
+    rows = validate.flag_anomalous(streams.sensor_rows(raw, fill_time=False).filter("reject_field is null"))
+    return (
+        rows.filter("not is_anomalous")
+        .drop("reject_field", "value")
+        .withColumn("reading_id", F.xxhash64("sensor_id", F.unix_micros(F.col("reading_ts").cast("timestamp"))))
+    )
 
 
 def publish_stream(df: DataFrame, key: str, fmt: str = "json", **options: str) -> DataStreamWriter:
@@ -106,16 +109,16 @@ def cycle_step(
         rows = table.after(spark, batch_id)
         at = clock if clock is not None else rows.agg(F.max("reading_ts").alias("t")).scalar()
         new = prediction_cycle(rows, adjacency, at)
-        predictions.write(sinks.absent_rows(new, predictions.before(spark, batch_id), "prediction_id"), batch_id)
+        predictions.write(sinks.first_per_key(new, predictions.before(spark, batch_id), "prediction_id"), batch_id)
 
     return step
 
 
-def insert_step(table: AppendTable, key: str) -> Callable[[DataFrame, int], None]:
-    """Insert-if-absent by primary key."""
+def insert_step(table: AppendTable, key: str, order: list[Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """Insert-if-absent by primary key; ``order`` picks among the rows of one batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        table.write(sinks.absent_rows(batch, table.before(batch.sparkSession, batch_id), key), batch_id)
+        table.write(sinks.first_per_key(batch, table.before(batch.sparkSession, batch_id), key, order), batch_id)
 
     return step
 
@@ -131,18 +134,27 @@ def upsert_step(table: VersionedTable, key: str, replace: list[str], order: list
     return step
 
 
+def _clock(times: DataFrame) -> tuple[Column, DataFrame]:
+    """The greatest time seen so far, as a scalar and as one row ``t`` (none if no time was seen)."""
+    latest = times.toDF("t").agg(F.max(F.col("t").cast("timestamp")).alias("t"))
+    return latest.scalar(), latest.filter("t is not null")
+
+
 def feed_status_step(table: VersionedTable, changes: AppendTable) -> Callable[[DataFrame, int], None]:
     """Tracks silence per sensor and appends each change of status.
 
     A row without a sensor id is a clock tick: it moves the time on while
-    nothing arrives.  Union the feed with a ``rate`` source to get ticks.
+    nothing arrives.  Union the feed with a ``rate`` source to get ticks.  Time
+    never goes back: the greatest time seen is kept in the state, as the row
+    without a sensor, so a late row ends no silence but its own.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = table.before(spark, batch_id)
+        state = table.before(spark, batch_id)
+        old = state.filter("sensor_id is not null")
         new = batch.filter("sensor_id is not null").groupBy("sensor_id").agg(F.max("reading_ts").alias("heard"))
-        now = batch.agg(F.max("reading_ts").alias("t")).scalar()
+        now, clock = _clock(batch.select("reading_ts").union(state.select("last_received")))
         merged = old.withColumnRenamed("status", "was").join(new, "sensor_id", "full_outer").select(
             "sensor_id", F.greatest("last_received", "heard").alias("last_received"), "was"
         )
@@ -150,7 +162,8 @@ def feed_status_step(table: VersionedTable, changes: AppendTable) -> Callable[[D
             (F.unix_micros(now) - F.unix_micros("last_received")) / F.lit(1000000.0), F.lit(0.0)
         )
         judged = merged.withColumn("status", health.silence_status(gap))
-        table.write(judged.select("sensor_id", "last_received", "status", "was").drop("was"), batch_id)
+        tick = clock.select(F.lit(None).cast("string").alias("sensor_id"), F.col("t").alias("last_received"), F.lit("ok").alias("status"))
+        table.write(judged.select("sensor_id", "last_received", "status").union(tick), batch_id)
         moved = judged.filter(F.coalesce("was", F.lit("ok")) != F.col("status"))
         changes.write(moved.select("sensor_id", "last_received", "status"), batch_id)
 
@@ -160,20 +173,23 @@ def feed_status_step(table: VersionedTable, changes: AppendTable) -> Callable[[D
 def satellite_silence_step(table: VersionedTable, events: AppendTable) -> Callable[[DataFrame, int], None]:
     """Appends one event when a provider has been silent for two hours; a new image ends the silence.
 
-    Rows without a provider are clock ticks.
+    Rows without a provider are clock ticks, and the state keeps the greatest
+    time seen as the row without a provider.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = table.before(spark, batch_id)
+        state = table.before(spark, batch_id)
+        old = state.filter("provider is not null")
         new = batch.filter("provider is not null").groupBy("provider").agg(F.max("received_at").alias("heard"))
-        now = batch.agg(F.max("received_at").alias("t")).scalar()
+        now, clock = _clock(batch.select("received_at").union(state.select("last_received")))
         merged = old.withColumnRenamed("silent", "was").join(new, "provider", "full_outer").select(
             "provider", F.greatest("last_received", "heard").alias("last_received"), "was"
         )
         gap = (F.unix_micros(now) - F.unix_micros("last_received")) / F.lit(1000000.0)
         judged = merged.withColumn("silent", gap >= K.SATELLITE_SILENCE_HOURS * 3600)
-        table.write(judged.select("provider", "last_received", "silent"), batch_id)
+        tick = clock.select(F.lit(None).cast("string").alias("provider"), F.col("t").alias("last_received"), F.lit(False).alias("silent"))
+        table.write(judged.select("provider", "last_received", "silent").union(tick), batch_id)
         fresh = judged.filter(F.col("silent") & ~F.coalesce("was", F.lit(False)))
         events.write(fresh.select("provider", F.col("last_received").alias("unavailable_since")), batch_id)
 
@@ -212,7 +228,16 @@ def board_step(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return step
 
 
-def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> DataStreamWriter:
-    """A writer for one maintained table; ``availableNow=True`` works off what is there."""
+def run(
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, tables: tuple = (), **trigger
+) -> DataStreamWriter:
+    """A writer for maintained tables; ``availableNow=True`` works off what is there.
+
+    ``tables`` are those that the step writes.  If the checkpoint does not exist
+    yet, rows they already hold are carried over.
+    """
+    if not exists(stream.sparkSession, checkpoint):
+        for table in tables:
+            table.carry_over(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger) if trigger else writer

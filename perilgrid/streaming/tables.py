@@ -2,6 +2,8 @@
 
 A micro-batch may run twice after a failure, so each write is addressed by the
 batch id: running a batch again replaces what it wrote and reads what it read.
+Batch ids start again with a new checkpoint.  ``carry_over`` first sets aside what
+the table holds, so that the new run starts from it instead of writing over it.
 """
 
 from __future__ import annotations
@@ -10,9 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    p, fs = _at(spark, path)
+    if not fs.rename(p, _at(spark, to)[0]):
+        raise OSError(f"cannot rename {path}")
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the folders whose names start with ``prefix``."""
+    p, fs = _at(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
 
 
 class VersionedTable:
@@ -26,10 +51,19 @@ class VersionedTable:
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The state that batch ``batch_id`` starts from."""
-        if batch_id == 0:
+        if batch_id == 0 and not exists(spark, self._version(-1)):
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
 
+    def carry_over(self, spark: SparkSession) -> None:
+        """Makes the newest version the one that batch 0 starts from."""
+        held = [n for n in _numbers(spark, self.path, "v") if n >= 0]
+        if held:
+            _delete(spark, self._version(-1))
+            _rename(spark, self._version(held[-1]), self._version(-1))
+            for n in held[:-1]:
+                _delete(spark, self._version(n))
+
     def after(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return spark.read.schema(self.schema).parquet(self._version(batch_id))
 
@@ -48,10 +82,18 @@ class AppendTable:
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """Rows of earlier batches; the filter prunes folders."""
-        if batch_id == 0:
+        if not exists(spark, self.path):
             return spark.createDataFrame([], self.schema)
         return self.read(spark).filter(F.col("batch_id") < batch_id).drop("batch_id")
 
+    def carry_over(self, spark: SparkSession) -> None:
+        """Gives the stored batches numbers below zero, which every new batch comes after."""
+        held = _numbers(spark, self.path, "batch_id=")
+        low = min([0, *held])
+        for n in (n for n in held if n >= 0):
+            low -= 1
+            _rename(spark, f"{self.path}/batch_id={n}", f"{self.path}/batch_id={low}")
+
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(f"{self.schema}, batch_id bigint").parquet(self.path)
 

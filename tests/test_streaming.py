@@ -189,3 +189,58 @@ def test_missing_time_is_filled_on_intake(spark):
     raw = spark.createDataFrame([('{"sensor_id":"a","region_id":"r","stream_status":"ok"}',)], "value string")
     row = streams.sensor_rows(raw).first()
     assert row.reject_field is None and row.reading_ts is not None
+
+
+def test_late_row_brings_no_false_recovery(spark, tmp_path):
+    seen, out = VersionedTable(str(tmp_path / "s"), jobs.SEEN), AppendTable(str(tmp_path / "c"), jobs.SEEN)
+    step = jobs.feed_status_step(seen, out)
+    # b's row at minute 10 arrives after a has been found silent; an empty batch and a retry change nothing
+    feed = [[("a", at(0)), ("b", at(0))], [(None, at(61))], [("b", at(10))], [], [(None, at(62))]]
+    for i, batch in enumerate(feed):
+        for _ in range(2):
+            step(spark.createDataFrame(batch, "sensor_id string, reading_ts timestamp"), i)
+    got = sorted(tuple(r) for r in out.read(spark).select("batch_id", "sensor_id", "status").collect())
+    assert got == [(1, "a", "unavailable"), (1, "b", "unavailable"), (2, "b", "degraded")]
+    seen, out = VersionedTable(str(tmp_path / "p"), jobs.PROVIDER_SEEN), AppendTable(str(tmp_path / "e"), "provider string, unavailable_since timestamp")
+    step = jobs.satellite_silence_step(seen, out)
+    for i, batch in enumerate([[("p", at(0))], [(None, at(130))], [("q", at(5))], [(None, at(131))]]):
+        step(spark.createDataFrame(batch, "provider string, received_at timestamp"), i)
+    assert sorted(tuple(r) for r in out.read(spark).select("batch_id", "provider").collect()) == [(1, "p"), (2, "q")]
+
+
+def test_new_checkpoint_starts_from_the_stored_rows(spark, tmp_path):
+    df = spark.createDataFrame([(2, "new"), (1, "later")], "k bigint, v string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    table = AppendTable(str(tmp_path / "t"), "k bigint, v string")
+    jobs.insert_step(table, "k")(spark.createDataFrame([(1, "old")], table.schema), 0)
+    state = VersionedTable(str(tmp_path / "v"), "k bigint, v string")
+    keep = jobs.upsert_step(state, "k", ["v"], [F.col("v")])
+    keep(spark.createDataFrame([(1, "old"), (7, "old")], state.schema), 0)
+    for n in range(2):  # twice: the second checkpoint starts from what the first left
+        live = lambda: stream(spark, tmp_path, df.schema)
+        finish(jobs.run(live(), jobs.insert_step(table, "k"), f"{tmp_path}/cp{n}", (table,), availableNow=True))
+        finish(jobs.run(live(), keep, f"{tmp_path}/kp{n}", (state,), availableNow=True))
+        assert sorted(tuple(r)[:2] for r in table.read(spark).collect()) == [(1, "old"), (2, "new")]
+        assert sorted(map(tuple, state.after(spark, 0).collect())) == [(1, "later"), (2, "new"), (7, "old")]
+
+
+def test_readings_flow_from_json_to_predictions(spark, load, tmp_path):
+    """Source, validation, buffers, cycle and insert in one run, against the batch cycle on the same readings."""
+    from perilgrid import schemas
+    from perilgrid.plans.cycle import prediction_cycle
+
+    r = load("sensor_readings").limit(200)
+    r.select(F.to_json(F.struct(
+        "sensor_id", "region_id", F.col("reading_ts").cast("string").alias("timestamp"), "rainfall_mm", "temperature_c",
+        "river_level_m", "soil_moisture_pct", "wind_speed_kmh", "wind_direction_deg", "stream_status"
+    )).alias("value")).repartition(2).write.text(f"{tmp_path}/raw")
+    live = jobs.validated_stream(streams.open_stream(spark, f"{tmp_path}/raw"))
+    buffer = VersionedTable(f"{tmp_path}/buf", jobs.READING)
+    out = AppendTable(f"{tmp_path}/pred", schemas.PREDICTION)
+    clock = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    step = jobs.cycle_step(buffer, out, load("region_adjacency"), clock)
+    finish(jobs.run(live, step, f"{tmp_path}/cp", (buffer, out), availableNow=True))
+    clean = ltz(validate.validated(r), "reading_ts").withColumn("reading_id", F.xxhash64("sensor_id", F.unix_micros("reading_ts")))
+    want = prediction_cycle(clean, load("region_adjacency"), clock)
+    cut = lambda df: df.select("region_id", "disaster_type", "forecast_horizon_h", F.round("probability_pct", 6).alias("p"))
+    same(cut(out.read(spark)), cut(want))
