@@ -266,11 +266,12 @@ DERIVED_SQL: dict[str, str] = {
         join supplier b on b.s_suppkey = a.s_suppkey + d
         where d = 10 or a.s_suppkey % 10 <> 9""",
     "send_attempts": """
-        select c_custkey as user_id, k.channel, k.attempt,
-               case k.channel when 'sms' then (c_custkey * 7 + k.attempt) % 5 = 0
-                              when 'push' then c_custkey % 2 = 0
-                              else c_custkey % 3 = 0 end as ok
-        from customer, (values ('sms', 0), ('sms', 1), ('sms', 2), ('sms', 3), ('push', 0), ('voice', 0)) k(channel, attempt)""",
+        select l_orderkey as prediction_id, o_custkey as user_id,
+               case when l_linenumber <= 3 then 'push' when l_linenumber <= 5 then 'sms' else 'voice' end as channel,
+               case l_linenumber when 1 then 'push' when 6 then 'voice' else 'sms' end as transport,
+               case l_linenumber when 3 then 1 when 5 then 1 else 0 end as attempt,
+               cast(l_quantity as bigint) % 3 = 0 as ok
+        from lineitem join orders on o_orderkey = l_orderkey""",
     "zone_edges": "select zone_id, k.i, "
         + "lon0 + k.x1 as x1, lat0 + k.y1 as y1, lon0 + k.x2 as x2, lat0 + k.y2 as y2 from zones, (values "
         + ", ".join(
@@ -391,18 +392,16 @@ def _road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _send_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tries = [("sms", 0), ("sms", 1), ("sms", 2), ("sms", 3), ("push", 0), ("voice", 0)]
-    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(n).alias("attempt")) for c, n in tries])
-    return (
-        base(spark, sf_dir, "customer")
-        .select(F.col("c_custkey").alias("user_id"), F.explode(each).alias("t"))
-        .selectExpr(
-            "user_id",
-            "t.channel as channel",
-            "t.attempt as attempt",
-            "case t.channel when 'sms' then (user_id * 7 + t.attempt) % 5 = 0 "
-            "when 'push' then user_id % 2 = 0 else user_id % 3 = 0 end as ok",
-        )
+    """A try per order line: the order is the prediction, its customer the user, the line number says which try."""
+    lines = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    orders = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "l_orderkey as prediction_id",
+        "o_custkey as user_id",
+        "case when l_linenumber <= 3 then 'push' when l_linenumber <= 5 then 'sms' else 'voice' end as channel",
+        "case l_linenumber when 1 then 'push' when 6 then 'voice' else 'sms' end as transport",
+        "case l_linenumber when 3 then 1 when 5 then 1 else 0 end as attempt",
+        "cast(l_quantity as bigint) % 3 = 0 as ok",
     )
 
 

@@ -432,8 +432,13 @@ def test_message_texts(spark):
 
 
 def outcome(spark, channel, phone, log):
-    df = spark.createDataFrame([(1, channel, phone)], "user_id int, channel string, phone_number string")
-    tries = spark.createDataFrame([(1, *t) for t in log] or [(9, "sms", 0, True)], "user_id int, channel string, attempt int, ok boolean")
+    df = spark.createDataFrame([(7, 1, channel, phone)], "prediction_id int, user_id int, channel string, phone_number string")
+    # another send of the same user came out the other way
+    other = [(8, 1, channel, t, n, not ok) for t, n, ok in log]
+    tries = spark.createDataFrame(
+        [(7, 1, channel, *t) for t in log] + other + [(7, 9, channel, "sms", 0, True)],
+        "prediction_id int, user_id int, channel string, transport string, attempt int, ok boolean",
+    )
     r = one(alerts.delivery_outcomes(df, tries))
     return r.sent_channel, r.delivery_status, r.retry_count
 
@@ -448,6 +453,7 @@ def test_delivery_rules(spark):
     assert outcome(spark, "push", "+1", [("push", 0, False), *late]) == ("sms", "sent", 2)
     assert outcome(spark, "voice", "+1", [("voice", 0, False), ("sms", 0, True)]) == ("voice", "sent", 0)
     assert outcome(spark, "voice", "+1", [("voice", 0, False), *late]) == ("voice", "failed", 0)
+    assert outcome(spark, "sms", "+1", []) == ("sms", "failed", 3)
 
 
 def test_number_texts(spark):
@@ -536,3 +542,16 @@ def test_points_are_partitioned(spark, load, tmp_path):
 def test_lookup_escapes_quotes(spark):
     df = spark.createDataFrame([("a",)], "k string").select(lookup("k", {"a": "it's \\ here"}, "none").alias("v"))
     assert one(df).v == "it's \\ here"
+
+
+def test_one_region_with_most_users(spark):
+    users = spark.createDataFrame(
+        [(i, ["big"] if i % 10 else ["small"], "en", f"+{i}", None, ["sms"]) for i in range(300)],
+        "user_id int, region_ids array<string>, language_code string, phone_number string, push_token string, notification_channels array<string>",
+    )
+    p = spark.createDataFrame([(1, "big", "flood", "High", 3.0), (2, "big", "flood", "Low", None), (3, "small", "flood", "Medium", None)],
+                              "prediction_id int, region_id string, disaster_type string, risk_level string, time_to_impact_h double")
+    tries = spark.createDataFrame([(1, 11, "sms", "sms", 1, True)], "prediction_id int, user_id int, channel string, transport string, attempt int, ok boolean")
+    got = alerts.alert_records(p, users, tries, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert len(got) == 300 and all(r.dispatched_at is not None for r in got)
+    assert [(r.prediction_id, r.user_id, r.retry_count) for r in got if r.delivery_status == "sent"] == [(1, 11, 1)]
