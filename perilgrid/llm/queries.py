@@ -105,7 +105,7 @@ def op3_sentencepiece(spark, sf_dir):
 def op1_ngram_jaccard(spark, sf_dir):
     from perilgrid.llm.parity_join import similar_texts
 
-    return similar_texts(_table(spark, sf_dir, "documents"))
+    return similar_texts(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @_query
@@ -120,3 +120,21 @@ def op8_fingerprints(spark, sf_dir):
     from perilgrid.llm.fingerprints import fingerprint_documents
 
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+_SHINGLES = """(select {key}, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+    from (select {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x20\\x09-\\x0D]+') as w from {table}))"""
+
+CHECKS["op1_ngram_jaccard"] = f"""with recursive sets as (select doc_id, len(s) as n, s from {_SHINGLES.format(key="doc_id", table="documents")}),
+    each as (select doc_id, n, unnest(s) as x from sets),
+    links as (select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach as (select doc_id as id, doc_id as r from sets union select reach.id, links.b from reach join links on reach.r = links.a)
+    select doc_id, any_value(n) as n_shingles, min(r) as component_id from sets join reach on id = doc_id group by doc_id"""
+
+CHECKS["op7_decontamination"] = f"""with items as (select item_id, len(s) as n, unnest(s) as x from {_SHINGLES.format(key="item_id", table="benchmark")}),
+    docs as (select doc_id, unnest(s) as x from {_SHINGLES.format(key="doc_id", table="documents")})
+    select doc_id, item_id, n::int as n_item, count(*)::int as n_shared, count(*) / n::double as containment
+    from items join docs using (x) group by doc_id, item_id, n having 4 * count(*) >= 3 * n"""
