@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,9 @@ from perilgrid.llm.words import blocks
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _KNOWN_STRETCHES = 200_000
+_BLOCK = 1 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_codecs: dict[int, "Codec"] = {}
+_codecs: dict[tuple, object] = {}
 
 
 def build_tokenizer(spec: bytes):
@@ -69,8 +71,8 @@ def build_tokenizer(spec: bytes):
     return tok, proto
 
 
-class Codec:
-    """Encodes and decodes texts; ``repaired`` counts stretches in which the two libraries differed."""
+class Encoder:
+    """Encodes texts; ``repaired`` counts stretches in which the two libraries differed."""
 
     def __init__(self, spec: bytes):
         import sentencepiece
@@ -88,16 +90,6 @@ class Codec:
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
         self.known: dict[str, bytes] = {}
         self.repaired = 0
-        self.bytes = [
-            bytes([int(p.piece[1:-1], 16)])
-            if p.type == _BYTE
-            else b""
-            if p.type == _CONTROL
-            else " ⁇ ".encode()
-            if p.type == _UNKNOWN
-            else p.piece.replace(MARK, " ").encode()
-            for p in proto.pieces
-        ]
 
     def _learn(self, stretches: list[str]) -> None:
         cut = len(self.prefix)
@@ -126,18 +118,48 @@ class Codec:
         self._learn(list(set().union(*parts).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids))
-        if self.prefix and raw.startswith(b" "):
-            raw = raw[1:]
-        return raw.decode("utf-8", errors="replace")
 
+class Decoder:
+    """Puts texts together from the bytes of the pieces."""
+
+    def __init__(self, spec: bytes):
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
-def _codec(spec: bytes) -> Codec:
+        proto = pb.ModelProto()
+        proto.ParseFromString(spec)
+        special = {_CONTROL: b"", _UNKNOWN: " ⁇ ".encode()}
+        table = [
+            bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else special.get(p.type, p.piece.replace(MARK, " ").encode())
+            for p in proto.pieces
+        ]
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table])
+        self.at = np.cumsum(self.size) - self.size
+        self.blank = np.array([proto.normalizer_spec.add_dummy_prefix and x[:1] == b" " for x in table])
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of concatenated id lists; ``ends`` has where each list ends, after a leading 0."""
+        at, size = self.at[ids], self.size[ids]
+        first = ends[:-1][ends[1:] > ends[:-1]]
+        lead = self.blank[ids[first]].astype(np.int64)  # the marker put before every text
+        at[first] += lead
+        size[first] -= lead
+        stop = np.cumsum(size)
+        raw = self.data[np.repeat(at - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        cut = np.append(0, stop)[ends].astype(np.int32)
+        texts = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(cut), pa.py_buffer(raw)])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no text gives
+            texts = pa.array([raw[a:b].tobytes().decode("utf-8", errors="replace") for a, b in zip(cut, cut[1:])], pa.string())
+        return texts
+
+
+def _cached(kind, spec: bytes):
     """One per worker process and model."""
-    key = hash(spec)
+    key = (kind.__name__, hash(spec))
     if key not in _codecs:
-        _codecs[key] = Codec(spec)
+        _codecs[key] = kind(spec)
     return _codecs[key]
 
 
@@ -158,9 +180,9 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col:
     source = docs.select(rest, F.col(text_col).alias("text"))
 
     def encode(batches):
-        codec = _codec(shared.value)
+        codec = _cached(Encoder, shared.value)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", _BLOCK):
                 texts = part.column(1).to_pylist()
                 packed = codec.encode([t or "" for t in texts])
                 ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
@@ -183,12 +205,15 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col
     source = encoded.select(rest, F.col(ids_col).alias("ids"))
 
     def decode(batches):
-        codec = _codec(shared.value)
+        codec = _cached(Decoder, shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = [None if x is None else codec.decode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["_rest", "decoded"])
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                lists = part.column(1)
+                length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+                texts = codec.decode(lists.flatten().to_numpy(), np.append(0, np.cumsum(length)))
+                texts = pa.compute.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], ["_rest", "decoded"])
 
     done = source.mapInArrow(decode, source.select("_rest").schema.add("decoded", "string"))
     return done.select(*[F.col("_rest").getField(c).alias(c) for c in others], F.col("decoded").alias(text_col))

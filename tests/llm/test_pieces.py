@@ -1,7 +1,8 @@
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from perilgrid.llm.pieces import Codec, build_tokenizer, decode_pieces, encode_pieces, round_trip
+from perilgrid.llm.pieces import Decoder, Encoder, build_tokenizer, decode_pieces, encode_pieces, round_trip
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -41,11 +42,19 @@ def test_whole_text_tokenizer_agrees():
 
 
 def test_differences_are_repaired():
-    codec = Codec(open(MODEL, "rb").read())
+    codec = Encoder(open(MODEL, "rb").read())
     codec.encode(["some words"])
     assert codec.repaired == 0
 
 
+def test_bytes_that_are_no_text():
+    spec, sp = open(MODEL, "rb").read(), reference()
+    lists = [[sp.piece_to_id("<0xC3>"), sp.piece_to_id("▁a")], [], [sp.piece_to_id("▁a"), 1, 2, 0]]
+    ends = np.cumsum([0, *map(len, lists)])
+    got = Decoder(spec).decode(np.array([i for x in lists for i in x], np.int32), ends).to_pylist()
+    assert got[0] == "\ufffd a" and got[1] == "" and got[2].startswith("a")
+
+
 def test_round_trip_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sp, got = reference(), round_trip(docs, MODEL).collect()
