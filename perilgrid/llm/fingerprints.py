@@ -8,8 +8,9 @@ out.  Peeling takes a cell that holds one digest, notes the digest, removes it f
 its other cells, and goes on until nothing is left: what came out are the digests
 that the two texts do not share.  If cells remain, a larger sketch is tried.
 
-Cells come in pages of 64 and a digest's cells lie in one page, so peeling works on
-short arrays.  Each try has more pages per digest than the one before.
+Cells come in pages of 64 and a digest's cells lie in one page; cells are rows, and a
+round of peeling is two aggregates that need no shuffle.  Each try has more pages
+per digest than the one before.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from perilgrid.session import cut_lineage
 PIECES = [(64, 4), (512, 24), (4096, 96), (32768, 384), (None, 1536)]
 _QUARTER = 16
 #: Digests of both texts per page in the first try; halved from one try to the next.
-_PER_PAGE = 32.0
+_PER_PAGE = 24.0
 _CHECK = 77
+#: Rounds of peeling in one try; what is left after them counts as a failure.
+_ROUNDS = 7
 
 
 def digests(text: Column) -> Column:
@@ -104,57 +107,54 @@ def _cells(digest: Column, turn: int, pages: Column) -> tuple[Column, list[Colum
     ]
 
 
-def _peel(cells: Column, turn: int) -> Column:
-    """``struct(cells, found)``: cells that could not be emptied, and how many digests came out.
+def _peel_round(cells: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    """One round: every digest that some cell holds alone leaves all its cells.
 
-    All cells that hold a single digest are taken at once; twelve rounds are
-    more than a page needs, and cells left after them count as a failure.
+    ``cells`` has ``_page``, ``i``, ``n``, ``k`` and ``c``; a row with ``i`` -1 counts
+    the digests that came out of the page.  A digest may be alone in several cells, so
+    it is made distinct first.  All groups contain ``keys``, so rows that are dealt by
+    one of them stay where they are.
     """
+    alone = (F.col("i") >= 0) & (F.abs("n") == 1) & (F.xxhash64("k", F.lit(_CHECK)) == F.col("c"))
+    own = F.struct(F.lit(False).alias("out"), F.col("i").alias("i"), F.col("n").alias("n"), F.col("k").alias("k"), F.col("c").alias("c"))
+    out = F.struct(F.lit(True).alias("out"), F.lit(0).alias("i"), F.col("n").alias("n"), F.col("k").alias("k"), F.col("c").alias("c"))
+    named = cells.select(*keys, "_page", F.explode(F.when(alone, F.array(own, out)).otherwise(F.array(own))).alias("e"))
+    once = named.select(*keys, "_page", "e.*").distinct()
+    _, places = _cells(F.col("k"), turn, F.lit(1))
+    row = lambda i, n, k, c: F.struct(i.alias("i"), n.alias("n"), k.alias("k"), c.alias("c"))
+    none = F.lit(0).cast("bigint")
+    gone = [row(at, -F.col("n"), F.col("k"), F.col("c")) for at in places]
+    moved = F.when(F.col("out"), F.array(*gone, row(F.lit(-1), F.lit(1), none, none))).otherwise(
+        F.array(row(F.col("i"), F.col("n"), F.col("k"), F.col("c")))
+    )
+    return _cell_sums(once.select(*keys, "_page", F.explode(moved).alias("e")).select(*keys, "_page", "e.*"), keys)
 
-    def single(c):
-        return (F.abs(c.n) == 1) & (F.xxhash64(c.k, F.lit(_CHECK)) == c.c)
-
-    def round_of(state, _):
-        ones = F.array_distinct(F.transform(F.filter(state.cells, single), lambda c: F.struct(c.k.alias("k"), c.n.alias("n"), c.c.alias("c"))))
-        placed = F.transform(
-            ones, lambda o: F.struct(o.k.alias("k"), o.n.alias("n"), o.c.alias("c"), F.array(*_cells(o.k, turn, F.lit(1))[1]).alias("at"))
-        )
-
-        def without(c):
-            return F.aggregate(
-                F.filter(placed, lambda o: F.array_contains(o["at"], c.i)),
-                c,
-                lambda a, o: F.struct(
-                    a.i.alias("i"), (a.n - o.n).alias("n"), a.k.bitwiseXOR(o.k).alias("k"), a.c.bitwiseXOR(o.c).alias("c")
-                ),
-            )
-
-        kept = F.filter(F.transform(state.cells, without), lambda c: (c.n != 0) | (c.k != 0) | (c.c != 0))
-        return F.when(F.size(ones) == 0, state).otherwise(F.struct(kept.alias("cells"), (state.found + F.size(ones)).alias("found")))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, round_of)
+def _cell_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells from their contributions, less the empty ones."""
+    sums = rows.groupBy(*keys, "_page", "i").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return sums.filter("n <> 0 or k <> 0 or c <> 0")
 
 
 def subtract(pairs: DataFrame, keys: list[str], turn: int, per_page: float) -> DataFrame:
     """``keys``, ``found``, ``left`` for pairs of digest arrays ``a`` and ``b``.
 
-    ``found`` is the number of digests that only one of the two has, if nothing is
-    ``left``.  Pairs without digests are not returned.
+    ``found`` is the number of digests that only one of the two has, if no cells are
+    ``left``.  Pairs of sketches that are equal are not returned.
     """
     pages = F.ceil((F.size("a") + F.size("b")) / per_page).cast("bigint")
     sign = lambda s: lambda d: F.struct(d.alias("d"), F.lit(s).alias("s"))
     held = pairs.select(*keys, pages.alias("_pages"), F.explode(F.concat(F.transform("a", sign(1)), F.transform("b", sign(-1)))).alias("e"))
-    page, cells = _cells(F.col("e.d"), turn, F.col("_pages"))
-    spread = held.select(*keys, page.alias("_page"), F.col("e.d").alias("d"), F.col("e.s").alias("s"), F.explode(F.array(*cells)).alias("i"))
-    sums = (
-        spread.groupBy(*keys, "_page", "i")
-        .agg(F.sum("s").cast("int").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.xxhash64("d", F.lit(_CHECK))).alias("c"))
-        .groupBy(*keys, "_page")
-        .agg(F.collect_list(F.when((F.col("n") != 0) | (F.col("k") != 0) | (F.col("c") != 0), F.struct("i", "n", "k", "c"))).alias("cells"))
+    page, places = _cells(F.col("e.d"), turn, F.col("_pages"))
+    spread = held.select(
+        *keys, page.alias("_page"), F.explode(F.array(*places)).alias("i"), F.col("e.s").alias("n"), F.col("e.d").alias("k"),
+        F.xxhash64("e.d", F.lit(_CHECK)).alias("c"),
     )
-    peeled = sums.select(*keys, _peel(F.col("cells"), turn).alias("p"))
-    return peeled.groupBy(*keys).agg(F.sum("p.found").alias("found"), F.sum(F.size("p.cells")).alias("left"))
+    cells = _cell_sums(spread, keys)
+    for _ in range(_ROUNDS):
+        cells = _peel_round(cells, keys, turn)
+    came = F.coalesce(F.sum(F.when(F.col("i") == -1, F.col("n"))), F.lit(0))
+    return cells.groupBy(*keys).agg(came.alias("found"), F.count_if(F.col("i") >= 0).alias("left"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,7 +59,7 @@ def test_larger_sketch_after_failure(spark):
     a, b = [[rng.getrandbits(62) for _ in range(n)] for n in (300, 200)]
     df = spark.createDataFrame([(1, a + b[:50], b), (2, a, a), (3, a[:20], [])], "id int, a array<bigint>, b array<bigint>")
     crowded = {r.id: (r.found, r.left) for r in subtract(df, ["id"], 0, 400.0).collect()}
-    assert crowded[1][1] > 0 and crowded[2] == (0, 0) and crowded[3] == (20, 0)
+    assert crowded[1][1] > 0 and 2 not in crowded and crowded[3] == (20, 0)
     roomy = {r.id: (r.found, r.left) for r in subtract(df, ["id"], 1, 8.0).collect()}
     assert roomy[1] in ((450, 0),) or roomy[1][1] > 0
     assert subtract(df.filter(F.lit(False)), ["id"], 0, 8.0).count() == 0
