@@ -196,8 +196,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = table.select("_bucket", "_at", F.explode(versions).alias("v")).select("_bucket", "_at", "v.*")
     done, turn, per_page = None, 0, _PER_PAGE
     todo = pairs
+    # a stated number of partitions is not coalesced: the rows grow many times over inside the tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        tried = cut_lineage(subtract(todo.repartition("_bucket"), keys, turn, per_page))
+        tried = cut_lineage(subtract(todo.repartition(parts, "_bucket"), keys, turn, per_page))
         solved = tried.filter("left = 0").select(*keys, "found")
         done = solved if done is None else done.union(solved)
         failed = tried.filter("left > 0")
