@@ -6,27 +6,29 @@ distance and the sizes throw out most, and what is left is verified on the whole
 sets.  Only exact conditions decide, so no link is lost.
 
 Copies are one node (the hash of the set), and groups of near copies are not
-expanded: two rounds link each node with one leader, and only pairs that lie in
-different components after that are compared one by one.
+expanded: a first round links each node with one leader, a second one with the few
+nodes of other components that it shares most keys with, and only pairs that lie
+in different components even then are compared one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilgrid.llm.bits import bitmap, maybe
 from perilgrid.llm.components import components
-from perilgrid.llm.sketches import FOLDED_BITS, band_keys, folded
+from perilgrid.llm.sketches import FOLDED_BITS, WIDE_BITS, WIDE_FROM, band_keys, folded
 from perilgrid.llm.words import blocks, mix, shingle_sets
 from perilgrid.session import cut_lineage
 
 _PARTS = FOLDED_BITS // 64
 _LONGS = pa.list_(pa.int64())
-_HOT_IN_BLOCK, _HOT = 3, 16
+_HOT_IN_BLOCK, _HOT = 2, 8
 _BLOCK = 16 << 20
+_CLOSEST = 3
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -60,7 +62,7 @@ def _sketched(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         hot, done = shared.value, set()
         for batch in batches:
             for part in blocks(batch, "text"):
-                sizes, nodes, sketches, keys = [], [], [], []
+                sizes, nodes, sketches, wide, keys = [], [], [], [], []
                 for s in shingle_sets(part.column(2)):
                     node = _node(s) if len(s) else None
                     first = node is not None and node not in done
@@ -68,17 +70,19 @@ def _sketched(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                     sizes.append(len(s))
                     nodes.append(node)
                     sketches.append(folded(s).view(np.int64) if first else None)
+                    wide.append(folded(s, WIDE_BITS).view(np.int64) if first and len(s) > WIDE_FROM else None)
                     keys.append(band_keys(s, hot).view(np.int64) if first else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, _LONGS), pa.array(keys, _LONGS)],
-                    ["_id", "hash", "n", "node", "sketch", "keys"],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, _LONGS), pa.array(wide, _LONGS), pa.array(keys, _LONGS)],
+                    ["_id", "hash", "n", "node", "sketch", "wide", "keys"],
                 )
 
-    return texts.mapInArrow(build, f"_id {kind}, hash bigint, n bigint, node bigint, sketch array<bigint>, keys array<bigint>")
+    return texts.mapInArrow(build, f"_id {kind}, hash bigint, n bigint, node bigint, sketch array<bigint>, wide array<bigint>, keys array<bigint>")
 
 
-def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]:
-    """``node``, ``n``, ``hash``, sketch columns of nodes that share a key, and their ``key``, ``node`` rows.
+def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of nodes that share a key: ``node``, ``n``, ``hash`` and sketch columns; ``node``, ``n``, ``wide`` of
+    the large ones; and their ``key``, ``node`` rows.
 
     A bitmap of keys that occur twice keeps the others out of the shuffle.
     """
@@ -88,22 +92,23 @@ def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]
 
     def keep(batches):
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(5)
             keys, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), length)
             good = maybe(shared.value, keys.view(np.uint64))
             count = np.bincount(row[good], minlength=batch.num_rows)
             kept = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(keys[good]))
             some = pa.array(count > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], kept], batch.schema.names).filter(some)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], kept], batch.schema.names).filter(some)
 
-    rows = rows.select("node", "n", "hash", "sketch", "keys")
+    rows = rows.select("node", "n", "hash", "sketch", "wide", "keys")
     kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
     nodes = cut_lineage(rows.mapInArrow(keep, kinds).dropDuplicates(["node"]))
     member = nodes.select("node", F.explode("keys").alias("key"))
     common = member.groupBy("key").count().filter("count > 1")
     sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(_PARTS)]
-    return nodes.select("node", "n", "hash", *sketch), cut_lineage(member.join(common.select("key"), "key"))
+    wide = nodes.filter("wide is not null").select("node", "n", "wide")
+    return nodes.select("node", "n", "hash", *sketch), wide, cut_lineage(member.join(common.select("key"), "key"))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -113,36 +118,46 @@ def _may_link(a: str, b: str) -> Column:
     return (4 * F.least(f"{a}.n", f"{b}.n") >= 3 * F.greatest(f"{a}.n", f"{b}.n")) & (7 * apart <= n)
 
 
-def _with_roots(member: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return member.withColumn("root", F.col("node"))
-    return member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Leaves out pairs of large sets whose wide sketches lie too far apart."""
+    x = wide.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    y = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    each = F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(each, F.lit(0), lambda total, k: total + k)
+    fits = F.coalesce(7 * apart <= F.col("na") + F.col("nb"), F.lit(True))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(fits).select(*pairs.columns)
 
 
-def _leader_pairs(member: DataFrame, nodes: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """For each node the leader of another component that it shares most keys with."""
-    rooted = _with_roots(member, roots)
-    leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "root")).alias("leader")
-    led = rooted.groupBy("key").agg(leader, F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    met = rooted.join(led, "key").filter(F.col("root") != F.col("leader.root"))
-    pairs = met.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+def _leader_pairs(member: DataFrame, nodes: DataFrame, wide: DataFrame) -> DataFrame:
+    """For each node the leader, the least member of a key, that it shares most keys with."""
+    leaders = member.groupBy("key").agg(F.min("node").alias("a"))
+    met = member.join(leaders, "key").filter("node != a")
+    pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     close = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")).filter(_may_link("x", "y"))
+    close = _near(close.select("a", "b", "times"), wide)
     return close.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b")
 
 
-def _cross_pairs(member: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """All pairs of nodes that share a key and lie in different components, within the bounds."""
-    rooted = _with_roots(member, roots)
+def _cross_pairs(member: DataFrame, nodes: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key and lie in different components, within the bounds, and how many they share."""
+    rooted = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     left = rooted.join(split.select("key"), "key").join(nodes, "node")
     x, y = left.alias("x"), left.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    return x.join(y, meet & _may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = x.join(y, meet & _may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return _near(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), wide)
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` those that are among the best few of either node."""
+    ends = pairs.select("a", "b", "times", F.explode(F.array("a", "b")).alias("node"))
+    best = Window.partitionBy("node").orderBy(F.desc("times"), "a", "b")
+    return ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= _CLOSEST).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
-    pairs = cut_lineage(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ends.join(nodes, "node"), "hash", 24))
 
@@ -178,12 +193,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     sketched = cut_lineage(_sketched(texts, _frequent(texts)))
-    nodes, member = _members(sketched)
-    links = roots = None
-    for turn in (0, 1, 2):
-        pairs = _leader_pairs(member, nodes, roots, turn) if turn < 2 else _cross_pairs(member, nodes, roots)
-        found = _verified(pairs, nodes, texts)
-        links = found if links is None else links.union(found)
+    nodes, wide, member = _members(sketched)
+    pairs = cut_lineage(_leader_pairs(member, nodes, wide))
+    links, tried = _verified(pairs, nodes, texts), pairs
+    roots = components(links)
+    for closest_only in (True, False):
+        apart = _cross_pairs(member, nodes, wide, roots)
+        pairs = (_closest(apart) if closest_only else apart.select("a", "b")).join(tried, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        links, tried = links.union(_verified(pairs, nodes, texts)), tried.union(pairs)
         roots = components(links)
     rows = sketched.join(roots, "node", "left").select("_id", "n", "hash", F.coalesce("root", "node").alias("root"))
     least = rows.filter("root is not null").groupBy("root").agg(F.min("_id").alias("least"))

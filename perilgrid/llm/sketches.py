@@ -18,6 +18,8 @@ from perilgrid.llm.words import mix
 _U = np.uint64
 _PART = _U(0xC2B2AE3D27D4EB4F)
 FOLDED_BITS = 512
+#: Sets larger than ``WIDE_FROM`` also get a longer one, as the short one fills up.
+WIDE_BITS, WIDE_FROM = 4096, 400
 
 
 def most_differences(n: int) -> int:
@@ -67,8 +69,8 @@ def band_keys(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def folded(shingles: np.ndarray) -> np.ndarray:
-    """The sketch folded to ``FOLDED_BITS`` bits (as 64-bit words), which can only bring two sketches closer."""
-    place = (shingles & _U(FOLDED_BITS - 1)).astype(np.int64)
-    odd = np.bincount(place, minlength=FOLDED_BITS) & 1
+def folded(shingles: np.ndarray, bits: int = FOLDED_BITS) -> np.ndarray:
+    """The sketch folded to ``bits`` bits (as 64-bit words), which can only bring two sketches closer."""
+    place = (shingles & _U(bits - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
