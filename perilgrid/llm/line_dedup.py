@@ -6,6 +6,13 @@ Blank lines are not counted.  Each window of three lines is hashed by its words,
 case (A-Z) and spacing do not matter.  Of the windows that occur more than once
 anywhere, the first occurrence by id and place stays; the lines that later
 occurrences cover, overlaps merged, are removed.
+
+With ``by_content``, lines are cut by their words alone, wherever they begin: at
+every sentence end, and in each run of eight words without one at the word where a
+hash of the last three words is least (the last such word).  Whether a word ends a
+line depends on nine words before it and seven after it, and no line has more than
+eight words but at the ends of a physical line, so a passage of 50 words always
+holds the same three whole lines.
 """
 
 from __future__ import annotations
@@ -20,12 +27,34 @@ from perilgrid.session import cut_lineage
 
 WINDOW = 3
 _CUT_AFTER = 8
+_CONTEXT = 3
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _K = np.uint64(0xA24BAED4963EE407)
 
 
-def lines_of(texts: pa.Array):
+def _content_cuts(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words after which a line ends by its content; ``first`` marks the first words of physical lines."""
+    n, line = len(words), np.cumsum(first)
+    value = words.copy()
+    for d in range(1, _CONTEXT):
+        value[d:] = value[d:] * _K + np.where(line[d:] == line[:-d], words[:-d], np.uint64(0))
+    value = mix(value)
+    value[ends] = 0
+    cut = np.zeros(n, bool)
+    cut[ends] = True
+    wide = n - _CUT_AFTER + 1
+    if wide > 0:
+        least, at = value[:wide].copy(), np.arange(wide)
+        for d in range(1, _CUT_AFTER):
+            lower = value[d : d + wide] <= least
+            least[lower] = value[d : d + wide][lower]
+            at[lower] = np.flatnonzero(lower) + d
+        cut[at[line[:wide] == line[_CUT_AFTER - 1 :]]] = True
+    return np.flatnonzero(cut)
+
+
+def lines_of(texts: pa.Array, by_content: bool = False):
     """Hashes of the lines of a column, byte position where each starts, lines before each text, text bounds."""
     data, bounds = text_bytes(texts)
     words, before, starts, stops, bounds = word_hashes(texts, spans=True)
@@ -41,7 +70,11 @@ def lines_of(texts: pa.Array):
     # sentence ends that lie beyond a further multiple of the cut length
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n))) + 1
     ends = np.flatnonzero(_ENDS[data[stops - 1]])
-    if len(ends):
+    if by_content:
+        after = _content_cuts(words, first, ends) + 1
+        first[after[after < n]] = True
+        at = np.flatnonzero(first)
+    elif len(ends):
         step = place[ends] // _CUT_AFTER
         line = np.searchsorted(at, ends, "right")
         previous = np.where(np.append(-1, line[:-1]) == line, np.append(0, step[:-1]), 0)
@@ -55,11 +88,11 @@ def lines_of(texts: pa.Array):
     return hashes, starts[at], np.searchsorted(at, before), bounds
 
 
-def _windows(source: DataFrame, kind: str) -> DataFrame:
+def _windows(source: DataFrame, kind: str, by_content: bool) -> DataFrame:
     def build(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
-                h, _, before, _ = lines_of(part.column(2))
+                h, _, before, _ = lines_of(part.column(2), by_content)
                 count = np.maximum(np.diff(before) - WINDOW + 1, 0)
                 rows = np.repeat(np.arange(len(count)), count)
                 pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
@@ -79,17 +112,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("text"))
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
     """``_id``, ``_row``, ``starts``: the first lines of the later windows of each text that has any."""
     source = _source(docs, id_col, text_col)
-    found = cut_lineage(_windows(source, source.schema["_id"].dataType.simpleString()))
+    found = cut_lineage(_windows(source, source.schema["_id"].dataType.simpleString(), by_content))
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("pos").alias("pos"))
     first = found.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     later = found.join(first.select("window", "first"), "window").filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("_id", "_row").agg(F.collect_set("pos").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
     """The rows of ``docs`` without the repeated lines, and ``n_lines`` and ``n_removed`` counted on the way.
 
     What stays is byte for byte as it was; a removed line takes the white space
@@ -107,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(text_col).alias("text"),
         F.struct(F.lit(True).alias("_"), *[F.col(c) for c in others]).alias("_rest"),
     )
-    cuts = later_windows(docs, id_col, text_col)
+    cuts = later_windows(docs, id_col, text_col, by_content)
     same = source["_id"].eqNullSafe(cuts["_id"]) & (source["_row"] == cuts["_row"])
     joined = source.join(cuts, same, "left").select(source["_id"], source["text"], cuts["starts"], "_rest")
 
@@ -116,7 +149,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in blocks(batch, "text"):
                 texts = part.column(1)
                 data, _ = text_bytes(texts)
-                _, starts, before, bounds = lines_of(texts)
+                _, starts, before, bounds = lines_of(texts, by_content)
                 out, gone = [], []
                 for i, (text, cut) in enumerate(zip(texts, part.column(2))):
                     drop = np.zeros(int(before[i + 1] - before[i]), bool)

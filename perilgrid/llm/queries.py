@@ -73,7 +73,7 @@ CHECKS["op10_secret_scan"] = _secret_sql()
 def op5_line_dedup(spark, sf_dir):
     from perilgrid.llm.line_dedup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(_table(spark, sf_dir, "documents"), by_content=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @_query
