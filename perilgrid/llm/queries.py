@@ -112,7 +112,7 @@ def op1_ngram_jaccard(spark, sf_dir):
 def op9_language_model(spark, sf_dir):
     from perilgrid.llm.language_model import score_texts
 
-    return score_texts(_table(spark, sf_dir, "documents"))
+    return score_texts(_table(spark, sf_dir, "documents"), all_pairs=True)
 
 
 @_query
