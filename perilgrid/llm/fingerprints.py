@@ -1,7 +1,9 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches.
 
 A text is cut into pieces, at line ends and after a number of characters that
-depends on the size class of the text, and its distinct pieces are hashed.  Every
+depends on the size class of the text, and its distinct pieces are hashed.  With
+``by_content``, texts of all sizes are cut by one rule: at line ends, after words that
+end in one of certain characters, and 96 characters after the last cut.  Every
 digest goes into four cells, each of which keeps a count, the XOR of its digests and
 the XOR of their checks.  Two sketches subtract cell by cell; what they share cancels
 out.  Peeling takes a cell that holds one digest, notes the digest, removes it from
@@ -22,6 +24,8 @@ from perilgrid.session import cut_lineage
 
 #: Characters of a text below which pieces have so many characters at most.
 PIECES = [(64, 4), (512, 24), (4096, 96), (32768, 384), (None, 1536)]
+#: A piece of a text of any size: up to a line end or a word with such an end, or 96 characters.
+CONTENT = "[^\\n]{0,95}?(?:[.!?。！？bcdfghjklmpqvwxyz][ \\t]+\\n*|\\n+)|[^\\n]{1,96}"
 _QUARTER = 16
 #: Digests of both texts per page in the first try; halved from one try to the next.
 _PER_PAGE = 24.0
@@ -30,8 +34,10 @@ _CHECK = 77
 _ROUNDS = 7
 
 
-def digests(text: Column) -> Column:
+def digests(text: Column, by_content: bool = False) -> Column:
     """Hashes of the distinct pieces of a text."""
+    if by_content:
+        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CONTENT), F.lit(0)), lambda p: F.xxhash64(p)))
     n, out = F.char_length(text), None
     for below, width in PIECES:
         cut = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{width}}}\n*|\n+"), F.lit(0))
@@ -61,7 +67,7 @@ def fingerprint(text: Column, found: Column) -> Column:
     return F.concat_ws("-", F.lower(F.hex(F.xxhash64(text))), F.size(found).cast("string"), *cells)
 
 
-def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_next(docs: DataFrame, id_col: str, text_col: str, by_content: bool) -> DataFrame:
     """Each row with its successor in descending order of the id; the last row's is the first row.
 
     Rows are dealt to buckets between quantiles of the id.  A bucket also gets a
@@ -79,7 +85,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     coarse = below(F.array(*[F.lit(p).cast("bigint") for p in points[step - 1 :: step]]).cast("array<bigint>"))
     bucket = coarse * step + below(F.slice(every, coarse * step + 1, step))
     rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(bucket).cast("int"))
-    rows = rows.withColumn("_found", digests(F.col("_text"))).withColumn("_hash", F.xxhash64("_text"))
+    rows = rows.withColumn("_found", digests(F.col("_text"), by_content)).withColumn("_hash", F.xxhash64("_text"))
     order = [F.desc_nulls_last("_id"), F.asc("_hash")]
     head = rows.groupBy("_bucket").agg(
         F.max_by(F.struct("_id", "_text", "_found", "_hash"), F.struct(F.col("_id").isNotNull(), "_id", -F.shiftright("_hash", 1), F.col("_hash"))).alias("h")
@@ -157,7 +163,7 @@ def subtract(pairs: DataFrame, keys: list[str], turn: int, per_page: float) -> D
     return cells.groupBy(*keys).agg(came.alias("found"), F.count_if(F.col("i") >= 0).alias("left"))
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are.
 
     The edited text has the last ``floor(n_chars / 3)`` code points replaced by the
@@ -169,11 +175,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ordered by a hash of the text.  A single row is followed by itself.  An empty
     table gives no rows.  Other columns are not read.
     """
-    rows = _with_next(docs, id_col, text_col)
+    rows = _with_next(docs, id_col, text_col, by_content)
     n = F.char_length("_text")
     tail = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 3) as int))"), F.substring(F.col("_next"), F.lit(1), tail))
-    rows = rows.withColumn("_edited", edited).withColumn("_edited_found", digests(F.col("_edited")))
+    rows = rows.withColumn("_edited", edited).withColumn("_edited_found", digests(F.col("_edited"), by_content))
     table = cut_lineage(
         rows.select(
             "_bucket",

@@ -119,7 +119,7 @@ def op9_language_model(spark, sf_dir):
 def op8_fingerprints(spark, sf_dir):
     from perilgrid.llm.fingerprints import fingerprint_documents
 
-    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+    return fingerprint_documents(_table(spark, sf_dir, "documents"), by_content=True)
 
 
 _SHINGLES = """(select {key}, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
