@@ -122,6 +122,20 @@ def op8_fingerprints(spark, sf_dir):
     return fingerprint_documents(_table(spark, sf_dir, "documents"), by_content=True)
 
 
+@_query
+def op13_hard_negatives(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from perilgrid.llm.negatives import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("embedding"),
+    )
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 _SHINGLES = """(select {key}, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
     from (select {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -138,3 +152,16 @@ CHECKS["op7_decontamination"] = f"""with items as (select item_id, len(s) as n,
     docs as (select doc_id, unnest(s) as x from {_SHINGLES.format(key="doc_id", table="documents")})
     select doc_id, item_id, n::int as n_item, count(*)::int as n_shared, count(*) / n::double as containment
     from items join docs using (x) group by doc_id, item_id, n having 4 * count(*) >= 3 * n"""
+
+CHECKS["op13_hard_negatives"] = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+      list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+      where label is not null and embedding is not null and list_count(embedding) = len(embedding)
+        and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+    s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+    w as (select p.a, p.b, p.score as ps, s.b as n, s.score as ns from p join s on p.a = s.a and not s.same
+      and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+    select a as anchor_id, b as positive_id, (row_number() over (partition by a, b order by ns desc, n))::int as rank,
+      n as negative_id, ps as positive_score, ns as negative_score from w
+    qualify row_number() over (partition by a, b order by ns desc, n) <= 5"""
