@@ -122,6 +122,20 @@ def op8_fingerprints(spark, sf_dir):
     return fingerprint_documents(_table(spark, sf_dir, "documents"), by_content=True)
 
 
+@_query
+def op11_bbit_minhash(spark, sf_dir):
+    from perilgrid.llm.bbit_minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_collocations(spark, sf_dir):
+    from perilgrid.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_hard_negatives(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -136,20 +150,26 @@ def op13_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
-_SHINGLES = """(select {key}, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+_SHINGLES = """(select {key}, list_distinct(case when len(w) >= {width} then list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
     from (select {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\\x20\\x09-\\x0D]+') as w from {table}))"""
 
-CHECKS["op1_ngram_jaccard"] = f"""with recursive sets as (select doc_id, len(s) as n, s from {_SHINGLES.format(key="doc_id", table="documents")}),
+
+def _link_sql(width: int, percent: int, more: str = "") -> str:
+    return f"""with recursive sets as (select doc_id, len(s) as n, s from {_SHINGLES.format(key="doc_id", table="documents", width=width)}),
     each as (select doc_id, n, unnest(s) as x from sets),
     links as (select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.doc_id <> b.doc_id
-      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
     reach as (select doc_id as id, doc_id as r from sets union select reach.id, links.b from reach join links on reach.r = links.a)
-    select doc_id, any_value(n) as n_shingles, min(r) as component_id from sets join reach on id = doc_id group by doc_id"""
+    select doc_id, any_value(n) as n_shingles, min(r) as component_id{more} from sets join reach on id = doc_id group by doc_id"""
 
-CHECKS["op7_decontamination"] = f"""with items as (select item_id, len(s) as n, unnest(s) as x from {_SHINGLES.format(key="item_id", table="benchmark")}),
-    docs as (select doc_id, unnest(s) as x from {_SHINGLES.format(key="doc_id", table="documents")})
+
+CHECKS["op1_ngram_jaccard"] = _link_sql(5, 75)
+CHECKS["op11_bbit_minhash"] = _link_sql(4, 80, ", doc_id = min(r) as kept")
+
+CHECKS["op7_decontamination"] = f"""with items as (select item_id, len(s) as n, unnest(s) as x from {_SHINGLES.format(key="item_id", table="benchmark", width=5)}),
+    docs as (select doc_id, unnest(s) as x from {_SHINGLES.format(key="doc_id", table="documents", width=5)})
     select doc_id, item_id, n::int as n_item, count(*)::int as n_shared, count(*) / n::double as containment
     from items join docs using (x) group by doc_id, item_id, n having 4 * count(*) >= 3 * n"""
 
@@ -165,3 +185,20 @@ CHECKS["op13_hard_negatives"] = """with v as (select vec_id, case when vec_id %
     select a as anchor_id, b as positive_id, (row_number() over (partition by a, b order by ns desc, n))::int as rank,
       n as negative_id, ps as positive_score, ns as negative_score from w
     qualify row_number() over (partition by a, b order by ns desc, n) <= 5"""
+
+CHECKS["op12_collocations"] = r"""with pieces as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+    total as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+    starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces),
+    f as (select lang, w[i:i + k - 1] as p, count(*) as f from starts, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w) group by all having count(*) >= 100),
+    c as (select lang, p, f as a from f where len(p) > 1),
+    inner_parts as (select lang, a, p[i:j] as p from (select *, unnest(range(1, len(p) + 1)) as i from c), (select unnest(range(1, 6)) as j)
+      where j > i and j <= len(p) and j - i + 1 < len(p)),
+    kept as (select c.* from c left join (select lang, p, max(a) as most from inner_parts group by all) x using (lang, p) where 100 * coalesce(most, 0) < 100 * a),
+    cuts as (select lang, p, a, unnest(range(1, len(p))) as k from kept),
+    scored as (select cuts.lang, cuts.p, a, x.f as l, y.f as r, n, k, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score from cuts
+      join total on cuts.lang = total.lang join f x on x.lang = cuts.lang and x.p = cuts.p[:k] join f y on y.lang = cuts.lang and y.p = cuts.p[k + 1:]
+      qualify row_number() over (partition by cuts.lang, cuts.p order by score, k) = 1),
+    named as (select lang, array_to_string(p, ' ') as phrase, a, l, r, n, score from scored)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from named
+    qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
