@@ -11,6 +11,8 @@ Copies are one node (the hash of the set), and groups are never written out as p
 each node is first linked with the member of its buckets that leads them and looks most
 like it; then only buckets that still hold several components are compared inside,
 tile by tile, first for the closest few of each node and then for all that is left.
+That last look takes signatures of 1,024 places, so that texts which are nearly but not
+quite similar to a whole group are told apart without comparing their sets.
 """
 
 from __future__ import annotations
@@ -26,31 +28,32 @@ from perilgrid.llm.words import blocks, mix, shingle_sets
 from perilgrid.session import cut_lineage
 
 WIDTH, HASHES, BANDS, ROWS, BITS = 4, 256, 40, 5, 4
+LONG = 1024
 _U, _LONGS = np.uint64, pa.list_(pa.int64())
 _rng = np.random.Generator(np.random.PCG64(41))
-_FLIP = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
-_TIMES = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _rng.integers(0, 2**32, LONG, dtype=np.uint32)
+_TIMES = _rng.integers(0, 2**31, (LONG, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * _U(2) + _U(1)
 _PLACES = 0x1111111111111111
-#: Places in which signatures of similar sets differ: 48 are expected at 0.8, this is five deviations more.
-MOST_APART = 80
+#: Places in which signatures of similar sets differ: 48 and 192 are expected at 0.8, these are five deviations more.
+MOST_APART, MOST_APART_LONG = 80, 255
 _BLOCK, _COPIES, _TILE, _CLOSEST = 2 << 20, 50_000, 1024, 3
 
 
 # --- signatures -------------------------------------------------------------------
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     """A row of minima for each set; the sets are not empty."""
     if not sets:
-        return np.zeros((0, HASHES), np.uint32)
+        return np.zeros((0, hashes), np.uint32)
     h = (np.concatenate(sets) >> _U(32)).astype(np.uint32)
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    out = np.empty((HASHES, len(sets)), np.uint32)
-    for j in range(HASHES):
-        v = (h ^ _FLIP[j]) * _TIMES[j]
+    out = np.empty((hashes, len(sets)), np.uint32)
+    for j in range(hashes):
+        v = (h ^ _FLIP[j]) * _TIMES[j, 0]
         v ^= v >> np.uint32(15)
-        out[j] = np.minimum.reduceat(v * _TIMES[-1 - j], starts)
+        out[j] = np.minimum.reduceat(v * _TIMES[j, 1], starts)
     return out.T
 
 
@@ -72,9 +75,9 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(d).sum(-1, dtype=np.int64)
 
 
-def likeness(differ):
+def likeness(differ, hashes: int = HASHES):
     """Similarity that so many differing places stand for."""
-    return 1 - differ / (HASHES * (1 - 2.0**-BITS))
+    return 1 - differ / (hashes * (1 - 2.0**-BITS))
 
 
 def _apart_column(x: str, y: str) -> Column:
@@ -148,7 +151,7 @@ def _leader_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.filter(F.col("far") <= MOST_APART).groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b")
 
 
-def _compared(tiles: DataFrame, closest: int | None) -> DataFrame:
+def _compared(tiles: DataFrame, closest: int | None, most: int) -> DataFrame:
     """``a``, ``b``, ``far``: pairs within a tile that lie in different components and may be similar.
 
     A pair is put out in the first band only that it shares.  With ``closest``, a tile
@@ -174,7 +177,7 @@ def _compared(tiles: DataFrame, closest: int | None) -> DataFrame:
             if not len(ys):
                 continue
             far = apart(sig[ys], sig[x])
-            ys, far = ys[far <= MOST_APART], far[far <= MOST_APART]
+            ys, far = ys[far <= most], far[far <= most]
             if not len(ys):
                 continue
             here = (keys[ys] == keys[x]).argmax(1)
@@ -222,20 +225,25 @@ def _compared(tiles: DataFrame, closest: int | None) -> DataFrame:
     return tiles.mapInArrow(compare, "a bigint, b bigint, far bigint")
 
 
-def _cross_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, closest: int | None) -> DataFrame:
+def _split_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``size``, ``root`` of the buckets that hold several components."""
+    rooted = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return cut_lineage(rooted.join(split.select("key"), "key"))
+
+
+def _cross_pairs(split: DataFrame, nodes: DataFrame, closest: int | None, most: int) -> DataFrame:
     """Pairs of nodes in different components that share a key and look similar.
 
     Members of a bucket are dealt to tiles of about a thousand by their node, and every two
     tiles meet in a group of their own, so no group grows with the bucket.
     """
-    rooted = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     parts = F.ceil(F.col("size") / _TILE).cast("int")
-    rows = rooted.join(split.select("key"), "key").withColumn("tile", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = split.withColumn("tile", F.pmod(F.xxhash64("node"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     rows = rows.select("key", "node", "root", "tile", other.alias("o")).join(nodes.select("node", "n", "sig", "keys"), "node")
     tiles = rows.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "node", "root", "n", "tile", "sig", "keys")
-    found = _compared(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), closest)
+    found = _compared(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), closest, most)
     if closest is None:
         return found.select("a", "b")
     ends = found.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
@@ -243,6 +251,26 @@ def _cross_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, closest:
     return ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= closest).select("a", "b").distinct()
 
 
+def _with_long(nodes: DataFrame, sets: DataFrame, split: DataFrame) -> DataFrame:
+    """``nodes`` of ``split`` with long signatures."""
+
+    def sign(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            room = np.cumsum(lists.value_lengths().to_numpy())
+            a = 0
+            while a < batch.num_rows:  # a bounded number of shingles at a time
+                b = max(a + 1, int(np.searchsorted(room, (room[a - 1] if a else 0) + (_BLOCK >> 3), "right")))
+                part = batch.slice(a, b - a)
+                sets = [s.values.to_numpy().view(_U) for s in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(packed(minima(sets, LONG))), _LONGS)], ["node", "sig"])
+                a = b
+
+    wanted = split.select("node").distinct()
+    long = sets.select("node", "shingles").join(wanted, "node", "left_semi").mapInArrow(sign, "node bigint, sig array<bigint>")
+    return cut_lineage(nodes.drop("sig").join(long, "node"))
+
+
 # --- confirmation -----------------------------------------------------------------
 
 
@@ -303,8 +331,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = cut_lineage(_leader_pairs(shared, nodes))
     links = _confirmed(tried, sets)
     roots = components(links)
-    for closest in (_CLOSEST, None):
-        pairs = cut_lineage(_cross_pairs(shared, nodes, roots, closest).join(tried, ["a", "b"], "left_anti"))
+    for closest, most in ((_CLOSEST, MOST_APART), (None, MOST_APART_LONG)):
+        split = _split_buckets(shared, roots)
+        known = nodes if closest else _with_long(nodes, sets, split)
+        pairs = cut_lineage(_cross_pairs(split, known, closest, most).join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.union(pairs), links.union(_confirmed(pairs, sets))
         roots = components(links)
     rows = signed.select("_id", "n", "node").join(roots, "node", "left").select("_id", "n", F.coalesce("root", "node").alias("root"))

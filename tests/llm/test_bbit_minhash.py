@@ -43,7 +43,7 @@ def variants(rng, n_groups=25):
 @pytest.mark.parametrize("size", [4, 60, 1500])
 def test_minima_agree_as_often_as_sets_are_similar(size):
     rng = np.random.Generator(np.random.PCG64(size))
-    errors, agree = [], []
+    errors, agree, longer = [], [], []
     for _ in range(150):
         x = rng.integers(0, 2**63, 2 * size, dtype=np.uint64) * np.uint64(2)
         shift = int(rng.integers(0, size // 2 + 1))
@@ -53,9 +53,12 @@ def test_minima_agree_as_often_as_sets_are_similar(size):
         agree.append((low[0] == low[1]).mean() - true)
         sig = B.packed(low)
         errors.append(float(B.likeness(B.apart(sig[0], sig[1]))) - true)
+        wide = B.packed(B.minima([a, b], B.LONG))
+        longer.append(float(B.likeness(B.apart(wide[0], wide[1]), B.LONG)) - true)
         if true >= 0.8:
-            assert B.apart(sig[0], sig[1]) <= B.MOST_APART
+            assert B.apart(sig[0], sig[1]) <= B.MOST_APART and B.apart(wide[0], wide[1]) <= B.MOST_APART_LONG
     assert abs(np.mean(agree)) < 0.01 and np.std(agree) < 0.035 and abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
+    assert abs(np.mean(longer)) < 0.01 and np.std(longer) < 0.02
 
 
 def test_similar_sets_share_a_key():
