@@ -1,33 +1,37 @@
 """Removes passages that repeat, by windows of three consecutive lines.
 
-A document is a row of lines.  A long line is cut into several: at the first
-sentence end (a word that ends in ``.``, ``!`` or ``?``) after every eight words.
-Blank lines are not counted.  Each window of three lines is hashed by its words, so
-case (A-Z) and spacing do not matter.  Of the windows that occur more than once
-anywhere, the first occurrence by id and place stays; the lines that later
-occurrences cover, overlaps merged, are removed.
-
-With ``by_content``, lines are cut by their words alone, wherever they begin: at
-every sentence end, and in each run of eight words without one at the word where a
-hash of the last three words is least (the last such word).  Whether a word ends a
-line depends on nine words before it and seven after it, and no line has more than
-eight words but at the ends of a physical line, so a passage of 50 words always
-holds the same three whole lines.
+A document is a row of lines.  Physical lines are cut further by their words alone,
+wherever they begin: at every sentence end (a word that ends in ``.``, ``!`` or ``?``), and in
+each run of eight words without one at the word where a hash of the last three words of
+the line is least (the last such word).  Whether a word ends a line depends on nine
+words before it and seven after it, and no line has more than eight words but at the
+ends of a physical line, so a passage of 50 words always holds the same three whole
+lines.  Blank lines are not counted.
+
+Each window of three lines is hashed by its words, so case (A-Z) and spacing do not
+matter.  A first pass counts the hashes alone; a second one sends the places of those
+that occur more than once.  The first occurrence by id and place stays; the lines that
+later occurrences cover, overlaps merged, are removed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perilgrid.llm.bits import bitmap, maybe
 from perilgrid.llm.words import blocks, mix, text_bytes, word_hashes
+from perilgrid.operators.skew import skew_safe_join
 from perilgrid.session import cut_lineage
 
 WINDOW = 3
 _CUT_AFTER = 8
 _CONTEXT = 3
+_BLOCK = 2 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _K = np.uint64(0xA24BAED4963EE407)
@@ -36,9 +40,11 @@ _K = np.uint64(0xA24BAED4963EE407)
 def _content_cuts(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words after which a line ends by its content; ``first`` marks the first words of physical lines."""
     n, line = len(words), np.cumsum(first)
-    value = words.copy()
+    value = words
     for d in range(1, _CONTEXT):
-        value[d:] = value[d:] * _K + np.where(line[d:] == line[:-d], words[:-d], np.uint64(0))
+        earlier = np.zeros(n, np.uint64)
+        earlier[d:] = np.where(line[d:] == line[:-d], words[:-d], np.uint64(0))
+        value = value * _K + earlier
     value = mix(value)
     value[ends] = 0
     cut = np.zeros(n, bool)
@@ -54,7 +60,7 @@ def _content_cuts(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.
     return np.flatnonzero(cut)
 
 
-def lines_of(texts: pa.Array, by_content: bool = False):
+def lines_of(texts: pa.Array):
     """Hashes of the lines of a column, byte position where each starts, lines before each text, text bounds."""
     data, bounds = text_bytes(texts)
     words, before, starts, stops, bounds = word_hashes(texts, spans=True)
@@ -66,21 +72,9 @@ def lines_of(texts: pa.Array, by_content: bool = False):
     first = np.ones(n, bool)
     first[1:] = newline[1:] != newline[:-1]
     first[before[:-1][before[:-1] < n]] = True  # each text starts a line
+    after = _content_cuts(words, first, np.flatnonzero(_ENDS[data[stops - 1]])) + 1
+    first[after[after < n]] = True
     at = np.flatnonzero(first)
-    # sentence ends that lie beyond a further multiple of the cut length
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n))) + 1
-    ends = np.flatnonzero(_ENDS[data[stops - 1]])
-    if by_content:
-        after = _content_cuts(words, first, ends) + 1
-        first[after[after < n]] = True
-        at = np.flatnonzero(first)
-    elif len(ends):
-        step = place[ends] // _CUT_AFTER
-        line = np.searchsorted(at, ends, "right")
-        previous = np.where(np.append(-1, line[:-1]) == line, np.append(0, step[:-1]), 0)
-        after = ends[step > previous] + 1
-        first[after[after < n]] = True
-        at = np.flatnonzero(first)
     length = np.diff(np.append(at, n))
     place = (np.arange(n) - np.repeat(at, length)).astype(np.uint64)
     # order within the line matters: each word is mixed with its place before adding up
@@ -88,23 +82,28 @@ def lines_of(texts: pa.Array, by_content: bool = False):
     return hashes, starts[at], np.searchsorted(at, before), bounds
 
 
-def _windows(source: DataFrame, kind: str, by_content: bool) -> DataFrame:
+def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each window of a column, the text it is in, and its first line there."""
+    h, _, before, _ = lines_of(texts)
+    count = np.maximum(np.diff(before) - WINDOW + 1, 0)
+    rows = np.repeat(np.arange(len(count)), count)
+    pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    at = before[rows] + pos
+    w = mix(mix(h[at] * _K + h[at + 1]) * _K + h[at + 2]) if len(at) else np.zeros(0, np.uint64)
+    return w, rows, pos
+
+
+def _repeated(source: DataFrame) -> DataFrame:
+    """``window``: the hashes that occur more than once."""
+
     def build(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
-                h, _, before, _ = lines_of(part.column(2), by_content)
-                count = np.maximum(np.diff(before) - WINDOW + 1, 0)
-                rows = np.repeat(np.arange(len(count)), count)
-                pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-                at = before[rows] + pos
-                w = mix(mix(h[at] * _K + h[at + 1]) * _K + h[at + 2]) if len(at) else np.zeros(0, np.uint64)
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(w.view(np.int64)), pa.array(pos, pa.int32())],
-                    ["_id", "_row", "window", "pos"],
-                )
+            for part in blocks(batch, "text", _BLOCK):
+                w, n = np.unique(_windows(part.column(0))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["window", "n"])
 
-    return source.mapInArrow(build, f"_id {kind}, _row bigint, window bigint, pos int")
+    seen = source.select("text").mapInArrow(build, "window bigint, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
+    return cut_lineage(seen.filter("n > 1").select("window"))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,17 +111,35 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("text"))
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
+def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_row``, ``starts``: the first lines of the later windows of each text that has any."""
     source = _source(docs, id_col, text_col)
-    found = cut_lineage(_windows(source, source.schema["_id"].dataType.simpleString(), by_content))
+    kind = source.schema["_id"].dataType.simpleString()
+    repeated = _repeated(source)
+    bits = min(28, max(16, math.ceil(math.log2(16 * repeated.count() + 1))))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "window", bits))
+
+    def build(batches):
+        for batch in batches:
+            for part in blocks(batch, "text", _BLOCK):
+                w, rows, pos = _windows(part.column(2))
+                some = maybe(known.value, w)
+                take = pa.array(rows[some], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(w[some].view(np.int64)), pa.array(pos[some], pa.int32())],
+                    ["_id", "_row", "window", "pos"],
+                )
+
+    found = cut_lineage(source.mapInArrow(build, f"_id {kind}, _row bigint, window bigint, pos int"))
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("pos").alias("pos"))
     first = found.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    later = found.join(first.select("window", "first"), "window").filter(~place.eqNullSafe(F.col("first")))
+    # one passage may stand in a third of all texts
+    met = skew_safe_join(found, first.select("window", "first"), ["window"])
+    later = met.filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("_id", "_row").agg(F.collect_set("pos").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without the repeated lines, and ``n_lines`` and ``n_removed`` counted on the way.
 
     What stays is byte for byte as it was; a removed line takes the white space
@@ -140,16 +157,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(text_col).alias("text"),
         F.struct(F.lit(True).alias("_"), *[F.col(c) for c in others]).alias("_rest"),
     )
-    cuts = later_windows(docs, id_col, text_col, by_content)
+    cuts = later_windows(docs, id_col, text_col)
     same = source["_id"].eqNullSafe(cuts["_id"]) & (source["_row"] == cuts["_row"])
     joined = source.join(cuts, same, "left").select(source["_id"], source["text"], cuts["starts"], "_rest")
 
     def remove(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", _BLOCK):
                 texts = part.column(1)
                 data, _ = text_bytes(texts)
-                _, starts, before, bounds = lines_of(texts, by_content)
+                _, starts, before, bounds = lines_of(texts)
                 out, gone = [], []
                 for i, (text, cut) in enumerate(zip(texts, part.column(2))):
                     drop = np.zeros(int(before[i + 1] - before[i]), bool)

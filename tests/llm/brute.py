@@ -2,6 +2,11 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from perilgrid.llm.words import mix, word_hashes
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -20,20 +25,27 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
+def line_ends(words):
+    """After which words of a physical line a line ends: sentence ends, and the least hash of three words in each run of eight."""
+    own = [int(word_hashes(pa.array([w]))[0][0]) for w in words]
+    value = []
+    for i, w in enumerate(words):
+        h = own[i]
+        for d in (1, 2):
+            h = (h * 0xA24BAED4963EE407 + (own[i - d] if i >= d else 0)) % 2**64
+        value.append(0 if w[-1] in ".!?" else int(mix(np.array([h], np.uint64))[0]))
+    cuts = {i for i, w in enumerate(words) if w[-1] in ".!?"}
+    return cuts | {min(range(a, a + 8), key=lambda i: (value[i], -i)) for a in range(len(words) - 7)}
+
+
 def lines(text):
-    """(words, start, stop) of each line, long lines cut after every eight words at a sentence end."""
+    """(words, start) of each line."""
     out = []
     for m in re.finditer(r"[^\n\r]+", text or ""):
         found = list(WORD.finditer(lower(m[0])))
         if not found:
             continue
-        cut, since = [], 0
-        for i, w in enumerate(found):
-            if w[0][-1] in ".!?":
-                step = (i + 1) // 8
-                if step > since:
-                    cut.append(i + 1)
-                since = step
+        cut = [i + 1 for i in line_ends([w[0] for w in found])]
         edges = sorted({0, *[c for c in cut if c < len(found)], len(found)})
         for a, b in zip(edges, edges[1:]):
             out.append((tuple(w[0] for w in found[a:b]), m.start() + found[a].start()))
