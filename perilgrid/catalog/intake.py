@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perilgrid.catalog.registry import query
+from perilgrid.functions import constants as K
 from perilgrid.operators import buffers, health, validate
 from perilgrid.operators import reports as rp
 from perilgrid.sources import sinks, streams, tables
@@ -358,6 +359,26 @@ def status(load):
     return health.feed_status(load("sensor_readings"), as_of())
 
 
+def _changes_sql(table: str, key: str, ts: str, levels, until: str) -> str:
+    first = levels[0][0]
+    arms = [f"select {key}, p as since, '{status}' as status, p + interval {s} second as changed_at from g where epoch_us(t) - epoch_us(p) >= {s}000000" for s, status in levels]
+    arms.append(f"select {key}, p, 'ok', t from g where epoch_us(t) - epoch_us(p) >= {first}000000")
+    arms += [f"select {key}, t, '{status}', t + interval {s} second from (select {key}, max(t) as t from g group by 1) where t + interval {s} second <= timestamp '{until}'"
+             for s, status in levels]
+    return f"""with r as (select {key}, {ts} as t from {table} where {key} is not null and {ts} <= timestamp '{until}'),
+        g as (select {key}, t, lag(t) over (partition by {key} order by t) as p from r) {" union all ".join(arms)}"""
+
+
+@query("h01_feed_changes", ["sensor_readings"], _changes_sql("sensor_readings", "sensor_id", "reading_ts", K.FEED_LEVELS, AS_OF))
+def changes(load):
+    return health.feed_changes(load("sensor_readings"), as_of())
+
+
+@query("h02_provider_changes", ["satellite_images"], _changes_sql("satellite_images", "provider", "received_at", K.PROVIDER_LEVELS, AS_OF))
+def provider_changes(load):
+    return health.feed_changes(load("satellite_images"), as_of(), "provider", "received_at", K.PROVIDER_LEVELS)
+
+
 @query("h02_satellite_silence", ["satellite_images"], """
     select provider, max(received_at) as unavailable_since from satellite_images where provider is not null
     group by 1 having max(received_at) <= timestamp '2024-01-31 02:00:00' - interval 2 hour""")
@@ -374,6 +395,16 @@ def alert_sla(load):
     return health.alert_sla_by_risk(load("dispatches"))
 
 
+@query("h03_dispatch_outcomes", ["predictions", "dispatches"], """
+    select p.prediction_id, p.risk_level, p.generated_at, case when p.risk_level = 'High' then 300 else 900 end as sla_s, d.dispatched_at,
+           d.dispatched_at is null as sla_breached
+    from predictions p left join dispatches d on d.prediction_id = p.prediction_id and d.dispatched_at >= p.generated_at
+         and epoch_us(d.dispatched_at) - epoch_us(p.generated_at) <= case when p.risk_level = 'High' then 300000000 else 900000000 end
+    where p.risk_level <> 'Low'""")
+def outcomes(load):
+    return health.dispatch_outcomes(load("predictions"), load("dispatches"))
+
+
 @query("h04_image_sla", ["satellite_images"], """
     select image_id, date_diff('second', received_at, processed_at)::double as elapsed_s,
            date_diff('second', received_at, processed_at) > 300 as sla_breached from satellite_images""")
@@ -418,6 +449,45 @@ def bursts(load):
     return buffers.report_bursts(load("crowd_reports"))
 
 
+_QUIET = _changes_sql("satellite_images", "provider", "received_at", K.PROVIDER_LEVELS, AS_OF)
+LAST_SILENCE = f"(select max(changed_at) from ({_QUIET}) where status = 'unavailable')"
+
+
+def switch_of(load):
+    """The satellite switch as the providers' own silences set it."""
+    changes = health.feed_changes(load("satellite_images"), as_of(), "provider", "received_at", K.PROVIDER_LEVELS)
+    return buffers.satellite_switch(load("cnn_features"), buffers.silences(changes))
+
+
+@query("w03_switch_after_silences", ["cnn_features", "satellite_images"], f"""
+    select max(extracted_at) as last_feature, {LAST_SILENCE} as last_silence,
+           coalesce(max(extracted_at) >= {LAST_SILENCE}, {LAST_SILENCE} is null) as available from cnn_features""")
+def switch_after_silences(load):
+    return switch_of(load)
+
+
+# every ninth reading arrives three hours late, every tenth one a second time, every 31st has no time
+ARRIVALS = """(select reading_id, region_id, case when reading_id % 31 <> 0 then reading_ts end as reading_ts,
+        reading_ts + interval 1 second * (case when reading_id % 9 = 0 then 10800 else reading_id % 50 end) as arrived_at from sensor_readings
+    union all select reading_id, region_id, case when reading_id % 31 <> 0 then reading_ts end,
+        reading_ts + interval 1 second * (2400 + case when reading_id % 9 = 0 then 10800 else reading_id % 50 end) from sensor_readings where reading_id % 10 = 0)"""
+
+
+@query("w07_late_and_repeated", ["sensor_readings"], f"""
+    with a as (select *, max(reading_ts) over (partition by region_id order by arrived_at, reading_ts nulls first, cast(reading_id as varchar)
+                                               rows between unbounded preceding and 1 preceding) as clock from {ARRIVALS}),
+    b as (select *, coalesce(reading_ts < clock - interval 2 hour, false) as late from a)
+    select reading_id, arrived_at, case when late then 'late' when row_number() over (partition by region_id, reading_id, reading_ts, late order by arrived_at) > 1
+           then 'repeated' else 'kept' end as fate from b""")
+def fates(load):
+    rows = load("sensor_readings").select("reading_id", "region_id", "reading_ts")
+    wait = F.when(F.col("reading_id") % 9 == 0, 10800).otherwise(F.col("reading_id") % 50)
+    first = rows.withColumn("arrived_at", F.col("reading_ts") + F.make_dt_interval(secs=wait))
+    again = rows.filter("reading_id % 10 = 0").withColumn("arrived_at", F.col("reading_ts") + F.make_dt_interval(secs=wait + 2400))
+    arrivals = first.union(again).withColumn("reading_ts", F.when(F.col("reading_id") % 31 != 0, F.col("reading_ts")))
+    return buffers.arrival_fate(arrivals, "region_id", "reading_id", "reading_ts", "arrived_at").select("reading_id", "arrived_at", "fate")
+
+
 BLOCKAGE = """lower(coalesce(description, '')) like '%road%' and (lower(description) like '%block%'
     or lower(description) like '%closed%' or lower(description) like '%flood%')"""
 SESSIONS = f"""(select region_id, min(reported_at) as first_report, max(reported_at) as last_report, count(*)::bigint as n_reports,

@@ -116,6 +116,9 @@ IMAGE_SLA_SECONDS = 300
 DEGRADED_MINUTES = 30
 UNAVAILABLE_MINUTES = 60
 SATELLITE_SILENCE_HOURS = 2
+FEED_LEVELS = ((DEGRADED_MINUTES * 60, "degraded"), (UNAVAILABLE_MINUTES * 60, "unavailable"))
+PROVIDER_LEVELS = ((SATELLITE_SILENCE_HOURS * 3600, "unavailable"),)
+LATENESS_SECONDS = 7200
 BUFFER_SIZE = 24
 SMOOTHING = 0.3
 REPORT_THRESHOLD = 3

@@ -51,6 +51,40 @@ def report_bursts(
     )
 
 
+def silences(provider_changes: DataFrame) -> DataFrame:
+    """``unavailable_since`` of the silence events among the changes of providers' status, as the switch takes them."""
+    return provider_changes.filter("status = 'unavailable'").select(F.col("changed_at").alias("unavailable_since"))
+
+
+def arrival_fate(
+    rows: DataFrame, key: str, id_col: str, ts: str, arrived: str, lateness_s: int = K.LATENESS_SECONDS, slice_seconds: int = 3600
+) -> DataFrame:
+    """Every row with its ``fate``: ``kept``, ``late`` or ``repeated``.
+
+    A row is late if its time is more than ``lateness_s`` before the greatest time that
+    its feed (``key``) had shown when it arrived, by ``arrived``, then time, then id.  It is
+    repeated if a row of the feed with the same id and time has been kept before.
+    A row without a time is never late.  The greatest time is carried along per slice
+    of arrival, so the one window over a whole feed is bounded by time.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("_arrived", "_at", "_name")]
+    wide = rows.withColumns({
+        "_arrived": epoch_micros(F.col(arrived)),
+        "_at": epoch_micros(F.col(ts)),
+        "_name": F.col(id_col).cast("string"),
+        "_key": F.coalesce(F.col(key).cast("string"), F.lit("\0")),
+    }).withColumn("_slice", F.coalesce(F.floor(F.col("_arrived") / (slice_seconds * 1000000)), F.lit(-(2**62))))
+    ends = wide.groupBy("_key", "_slice").agg(F.max("_at").alias("_top"))
+    upto = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.max("_top").over(upto)).drop("_top")
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    clock = F.greatest(F.max("_at").over(inside), F.col("_before"))
+    timed = wide.join(ends, ["_key", "_slice"]).withColumn("_late", F.coalesce(F.col("_at") < clock - lateness_s * 1000000, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("_key", "_name", "_at", "_late").orderBy(*order))
+    fate = F.when(F.col("_late"), "late").when(place > 1, "repeated").otherwise("kept")
+    return timed.withColumn("fate", fate).select(*rows.columns, "fate")
+
+
 def blockage_sessions(reports: DataFrame, gap_seconds: int = 600) -> DataFrame:
     """Quiet-period debounce per region: each report moves the deadline, the
     recompute falls ``gap_seconds`` after the last one.

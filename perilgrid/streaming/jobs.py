@@ -1,9 +1,9 @@
 """Streaming forms of the operators.
 
-Stateful steps that Structured Streaming offers (sessions, de-duplication,
-watermarks) use its state.  The others keep a table from ``foreachBatch`` and
-run the batch operators on it, so that a hot key is combined before the shuffle
-exactly as in batch, and a re-run batch gives the same result.
+Sessions, de-duplication and watermarks use what Structured Streaming offers, and state
+with timers is in ``keyed``.  What others read is a table kept from ``foreachBatch``: a batch
+reads and writes only the parts that it touches, and gives the same result if it
+runs again.  ``run`` names the checkpoint to the tables, as each counts batches anew.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from perilgrid.functions import constants as K
-from perilgrid.operators import board, buffers, health, reports, validate
+from perilgrid.operators import board, buffers, reports, validate
 from perilgrid.operators.skew import latest_per_key
 from perilgrid.plans.cycle import prediction_cycle
 from perilgrid.sources import sinks, streams
-from perilgrid.streaming.tables import AppendTable, VersionedTable, exists
+from perilgrid.streaming.parts import HourLog, KeyLog, PartTable
 
 LATENESS = "2 hours"
 
@@ -27,8 +27,6 @@ READING = (
     "reading_id bigint, sensor_id string, region_id string, reading_ts timestamp, rainfall_mm double, temperature_c double, "
     "river_level_m double, soil_moisture_pct double, wind_speed_kmh double, wind_direction_deg double, stream_status string"
 )
-SEEN = "sensor_id string, last_received timestamp, status string"
-PROVIDER_SEEN = "provider string, last_received timestamp, silent boolean"
 REPORT = "report_id bigint, region_id string, disaster_type string, description string, reported_at timestamp"
 BOARD = (
     "region_id string, disaster_type string, prediction_id string, forecast_horizon_h int, risk_level string, "
@@ -82,162 +80,82 @@ def blockage_session_stream(reports_in: DataFrame, gap: str = K.DEBOUNCE, latene
 # --- maintained tables ------------------------------------------------------------
 
 
-def buffer_step(table: VersionedTable, n: int = K.BUFFER_SIZE) -> Callable[[DataFrame, int], None]:
-    """Keeps the newest ``n`` readings of each region."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch.sparkSession, batch_id)
-        both = old.unionByName(batch.select(old.columns))
-        table.write(buffers.last_readings(both, n).drop("recency"), batch_id)
-
-    return step
-
-
 def cycle_step(
-    table: VersionedTable, predictions: AppendTable, adjacency: DataFrame, clock: Column | None = None
+    table: PartTable, predictions: KeyLog, adjacency: DataFrame, clock: Column | None = None, run: str = ""
 ) -> Callable[[DataFrame, int], None]:
-    """Refreshes the buffers, then runs a prediction cycle over every region with data.
+    """For ``keyed.last_readings_stream``: stores the buffers that changed, then runs a cycle over every region with data.
 
     Start it with ``trigger(processingTime='1 hour')``.  ``clock`` is the cycle
     time; without one it is the newest reading's.
     """
-    refresh = buffer_step(table)
+
+    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("region_id").distinct(), "region_id", "left_anti").unionByName(new)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        refresh(batch, batch_id)
         spark = batch.sparkSession
-        rows = table.after(spark, batch_id)
+        stored = table.read(spark)
+        table.update(batch.select(stored.columns), replaced, batch_id, run)
+        rows = table.read(spark)
         at = clock if clock is not None else rows.agg(F.max("reading_ts").alias("t")).scalar()
         new = prediction_cycle(rows, adjacency, at)
-        predictions.write(sinks.first_per_key(new, predictions.before(spark, batch_id), "prediction_id"), batch_id)
+        predictions.insert(new, lambda df: df.dropDuplicates(["prediction_id"]), batch_id, run)
 
     return step
 
 
-def insert_step(table: AppendTable, key: str, order: list[Column] | None = None) -> Callable[[DataFrame, int], None]:
+def insert_step(table: KeyLog, order: list[Column] | None = None, run: str = "") -> Callable[[DataFrame, int], None]:
     """Insert-if-absent by primary key; ``order`` picks among the rows of one batch."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        table.write(sinks.first_per_key(batch, table.before(batch.sparkSession, batch_id), key, order), batch_id)
+    def first(batch: DataFrame) -> DataFrame:
+        # without an order the row's JSON decides, so that a repeated run picks the same row
+        return latest_per_key(batch, [table.key], order or [F.to_json(F.struct("*"))])
 
-    return step
+    return lambda batch, batch_id: table.insert(batch, first, batch_id, run)
 
 
-def upsert_step(table: VersionedTable, key: str, replace: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
+def upsert_step(table: PartTable, replace: list[str], order: list[Column], run: str = "") -> Callable[[DataFrame, int], None]:
     """Upsert by key; the first row by ``order`` speaks for a key within one batch."""
+    key = table.key[0]
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch.sparkSession, batch_id)
-        new = latest_per_key(batch.select(old.columns), [key], order)
-        table.write(sinks.upsert(old, new, key, replace), batch_id)
-
-    return step
-
-
-def _clock(times: DataFrame) -> tuple[Column, DataFrame]:
-    """The greatest time seen so far, as a scalar and as one row ``t`` (none if no time was seen)."""
-    latest = times.toDF("t").agg(F.max(F.col("t").cast("timestamp")).alias("t"))
-    return latest.scalar(), latest.filter("t is not null")
-
-
-def feed_status_step(table: VersionedTable, changes: AppendTable) -> Callable[[DataFrame, int], None]:
-    """Tracks silence per sensor and appends each change of status.
-
-    A row without a sensor id is a clock tick: it moves the time on while
-    nothing arrives.  Union the feed with a ``rate`` source to get ticks.  Time
-    never goes back: the greatest time seen is kept in the state, as the row
-    without a sensor, so a late row ends no silence but its own.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = table.before(spark, batch_id)
-        old = state.filter("sensor_id is not null")
-        new = batch.filter("sensor_id is not null").groupBy("sensor_id").agg(F.max("reading_ts").alias("heard"))
-        now, clock = _clock(batch.select("reading_ts").union(state.select("last_received")))
-        merged = old.withColumnRenamed("status", "was").join(new, "sensor_id", "full_outer").select(
-            "sensor_id", F.greatest("last_received", "heard").alias("last_received"), "was"
-        )
-        gap = F.greatest(
-            (F.unix_micros(now) - F.unix_micros("last_received")) / F.lit(1000000.0), F.lit(0.0)
-        )
-        judged = merged.withColumn("status", health.silence_status(gap))
-        tick = clock.select(F.lit(None).cast("string").alias("sensor_id"), F.col("t").alias("last_received"), F.lit("ok").alias("status"))
-        table.write(judged.select("sensor_id", "last_received", "status").union(tick), batch_id)
-        moved = judged.filter(F.coalesce("was", F.lit("ok")) != F.col("status"))
-        changes.write(moved.select("sensor_id", "last_received", "status"), batch_id)
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return sinks.upsert(old, latest_per_key(new.select(old.columns), [key], order), key, replace)
 
-    return step
+    return lambda batch, batch_id: table.update(batch, merge, batch_id, run)
 
 
-def satellite_silence_step(table: VersionedTable, events: AppendTable) -> Callable[[DataFrame, int], None]:
-    """Appends one event when a provider has been silent for two hours; a new image ends the silence.
-
-    Rows without a provider are clock ticks, and the state keeps the greatest
-    time seen as the row without a provider.
-    """
+def board_step(table: PartTable, run: str = "") -> Callable[[DataFrame, int], None]:
+    """Live board: the newest prediction per region and hazard, refreshed where the batch touches it."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = table.before(spark, batch_id)
-        old = state.filter("provider is not null")
-        new = batch.filter("provider is not null").groupBy("provider").agg(F.max("received_at").alias("heard"))
-        now, clock = _clock(batch.select("received_at").union(state.select("last_received")))
-        merged = old.withColumnRenamed("silent", "was").join(new, "provider", "full_outer").select(
-            "provider", F.greatest("last_received", "heard").alias("last_received"), "was"
-        )
-        gap = (F.unix_micros(now) - F.unix_micros("last_received")) / F.lit(1000000.0)
-        judged = merged.withColumn("silent", gap >= K.SATELLITE_SILENCE_HOURS * 3600)
-        tick = clock.select(F.lit(None).cast("string").alias("provider"), F.col("t").alias("last_received"), F.lit(False).alias("silent"))
-        table.write(judged.select("provider", "last_received", "silent").union(tick), batch_id)
-        fresh = judged.filter(F.col("silent") & ~F.coalesce("was", F.lit(False)))
-        events.write(fresh.select("provider", F.col("last_received").alias("unavailable_since")), batch_id)
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        new = new.select(old.columns)
+        regions = new.select("region_id").distinct()
+        touched = old.join(regions, "region_id", "left_semi")
+        kept = old.join(regions, "region_id", "left_anti")
+        return kept.unionByName(board.latest_by_type(touched.unionByName(new)))
 
-    return step
+    return lambda batch, batch_id: table.update(batch, merge, batch_id, run)
 
 
-def burst_step(stored: AppendTable, out: AppendTable, seconds: int = K.REPORT_WINDOW_SECONDS) -> Callable[[DataFrame, int], None]:
+def burst_step(stored: HourLog, out: HourLog, seconds: int = K.REPORT_WINDOW_SECONDS, run: str = "") -> Callable[[DataFrame, int], None]:
     """Exact trailing counts as reports arrive.
 
-    Counts look at the batch and at stored reports of the hour before it; only
-    this batch's reports are put out.
+    Counts look at the batch and at stored reports of the hours that its windows reach
+    back to; only this batch's reports are put out.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = batch.select("report_id", "region_id", "disaster_type", "description", "reported_at")
-        since = new.agg((F.min("reported_at") - F.make_dt_interval(secs=F.lit(seconds))).alias("t")).scalar()
-        recent = stored.before(spark, batch_id).filter(F.col("reported_at") >= since)
+        since, until = new.agg(F.min("reported_at") - F.make_dt_interval(secs=F.lit(seconds)), F.max("reported_at")).first()
+        recent = stored.between(batch.sparkSession, since, until, batch_id, run)
         hits = buffers.report_bursts(recent.unionByName(new), seconds=seconds)
-        out.write(hits.join(new.select("report_id"), "report_id", "left_semi"), batch_id)
-        stored.write(new, batch_id)
+        out.append(hits.join(new.select("report_id"), "report_id", "left_semi"), batch_id, run)
+        stored.append(new, batch_id, run)
 
     return step
 
 
-def board_step(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """Live board: the newest prediction per region and hazard, refreshed where the batch touches it."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch.sparkSession, batch_id)
-        new = batch.select(old.columns)
-        touched = old.join(new.select("region_id").distinct(), "region_id", "left_semi")
-        kept = old.join(new.select("region_id").distinct(), "region_id", "left_anti")
-        table.write(kept.unionByName(board.latest_by_type(touched.unionByName(new))), batch_id)
-
-    return step
-
-
-def run(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, tables: tuple = (), **trigger
-) -> DataStreamWriter:
-    """A writer for maintained tables; ``availableNow=True`` works off what is there.
-
-    ``tables`` are those that the step writes.  If the checkpoint does not exist
-    yet, rows they already hold are carried over.
-    """
-    if not exists(stream.sparkSession, checkpoint):
-        for table in tables:
-            table.carry_over(stream.sparkSession)
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger) -> DataStreamWriter:
+    """A writer for maintained tables; ``availableNow=True`` works off what is there."""
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode)
     return writer.trigger(**trigger) if trigger else writer

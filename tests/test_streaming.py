@@ -1,14 +1,21 @@
 """Each stream is fed in several files and compared with the batch operator on the same rows."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from perilgrid.operators import board, buffers, reports, validate
 from perilgrid.sources import streams
-from perilgrid.streaming import jobs
-from perilgrid.streaming.tables import AppendTable, VersionedTable
+from perilgrid.streaming import jobs, keyed
+from perilgrid.streaming.parts import HourLog, KeyLog, PartTable
+
+
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    for k, v in keyed.state_settings().items():
+        spark.conf.set(k, v)
+    yield
+    for k in keyed.state_settings():
+        spark.conf.unset(k)
 
 
 def ordered_files(df, path, order, n):
@@ -68,81 +75,104 @@ def test_publish_stream_writes_key_and_json(spark, load, tmp_path):
     assert one.value.startswith('{"prediction_id":7,"risk_level"')
 
 
-def test_buffer_stream_equals_batch(spark, load, tmp_path):
-    r = ordered_files(ltz(load("sensor_readings"), "reading_ts").selectExpr(*[c.split()[0] for c in jobs.READING.split(", ")]),
-                      tmp_path, "reading_ts", 3)
-    table = VersionedTable(str(tmp_path / "buf"), jobs.READING)
-    finish(jobs.run(stream(spark, tmp_path, r.schema), jobs.buffer_step(table), str(tmp_path / "cp"), availableNow=True))
-    same(table.after(spark, 2).select("region_id", "reading_id"), buffers.last_readings(r).select("region_id", "reading_id"))
+def cycles(spark, readings, path, adjacency, at, name="cp"):
+    from perilgrid import schemas
+
+    table = PartTable(f"{path}/buf", f"{jobs.READING}, recency int", ["region_id"], 4)
+    out = KeyLog(f"{path}/pred", schemas.PREDICTION, "prediction_id", 4)
+    step = jobs.cycle_step(table, out, adjacency, at, name)
+    finish(jobs.run(keyed.last_readings_stream(readings), step, f"{path}/{name}", "update", availableNow=True))
+    return table, out
 
 
 def test_cycle_stream_predicts_once_per_region(spark, load, tmp_path):
     r = ordered_files(ltz(load("sensor_readings"), "reading_ts").selectExpr(*[c.split()[0] for c in jobs.READING.split(", ")]),
                       tmp_path, "reading_ts", 2)
-    table = VersionedTable(str(tmp_path / "buf"), jobs.READING)
-    from perilgrid import schemas
-
-    out = AppendTable(str(tmp_path / "pred"), schemas.PREDICTION)
     at = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    finish(jobs.run(stream(spark, tmp_path, r.schema), jobs.cycle_step(table, out, load("region_adjacency"), at),
-                    str(tmp_path / "cp"), availableNow=True))
+    table, out = cycles(spark, stream(spark, tmp_path, r.schema), tmp_path, load("region_adjacency"), at)
+    same(table.read(spark).select("region_id", "reading_id"), buffers.last_readings(r).select("region_id", "reading_id"))
     got = out.read(spark)
     # the same cycle time gives the same ids, so the second cycle adds no copies
     assert got.count() == got.select("prediction_id").distinct().count() == 15 * r.select("region_id").distinct().count()
 
 
 def test_insert_if_absent_keeps_the_first(spark, tmp_path):
-    table = AppendTable(str(tmp_path / "t"), "k bigint, v string")
-    step = jobs.insert_step(table, "k")
-    step(spark.createDataFrame([(1, "a"), (2, "a")], table.schema), 0)
-    step(spark.createDataFrame([(2, "b"), (3, "b")], table.schema), 1)
-    step(spark.createDataFrame([(2, "b"), (3, "b")], table.schema), 1)  # a retried batch
-    assert sorted(map(tuple, table.read(spark).select("k", "v").collect())) == [(1, "a"), (2, "a"), (3, "b")]
+    table = KeyLog(str(tmp_path / "t"), "k bigint, v string", "k", 4, 4)
+    step = jobs.insert_step(table)
+    step(spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], table.schema), 0)
+    step(spark.createDataFrame([(2, "b"), (3, "b"), (None, "b")], table.schema), 1)
+    step(spark.createDataFrame([(2, "b"), (3, "b"), (None, "b")], table.schema), 1)  # a retried batch
+    assert sorted(map(str, map(tuple, table.read(spark).collect()))) == sorted(map(str, [(1, "a"), (2, "a"), (3, "b"), (None, "a")]))
+
+
+def test_insert_reads_only_parts_that_may_hold_the_keys(spark, tmp_path):
+    table = KeyLog(str(tmp_path / "t"), "k bigint, v string", "k", 8, 4)
+    step = jobs.insert_step(table)
+    step(spark.range(0, 500).selectExpr("id as k", "'a' as v"), 0)
+    new = spark.range(10_000, 10_040).selectExpr("id as k", "'b' as v")
+    known = table.maybe_stored(spark.range(0, 10_000).selectExpr("id as k", "'x' as v"))
+    assert known.filter("k < 500").count() == 500 and known.count() < 600  # no stored key is missed, few others pass
+    assert table.maybe_stored(new).count() == 0 and table.stored_keys(new, 1) is None  # nothing stored is read
+    one = spark.createDataFrame([(7, "c"), (20_000, "c")], table.schema)
+    part = one.filter("k = 7").select(table.part_of()).first()[0]
+    plan = table.stored_keys(one, 1)._jdf.queryExecution().toString()
+    assert f"part#" in plan and f"IN ({part})" in plan or f"= {part})" in plan
+    read = {f.split("part=")[1].split("/")[0] for f in table.stored_keys(one, 1).inputFiles()}
+    assert read == {str(part)} or str(part) in read
+    step(one, 1)
+    assert table.read(spark).filter("k in (7, 20000)").orderBy("k").collect() == [(7, "a"), (20_000, "c")]
 
 
 def test_upsert_replaces_chosen_columns(spark, tmp_path):
-    table = VersionedTable(str(tmp_path / "t"), "id bigint, region string, km double")
-    step = jobs.upsert_step(table, "id", ["km"], [F.col("km")])
+    table = PartTable(str(tmp_path / "t"), "id bigint, region string, km double", ["id"], 4)
+    step = jobs.upsert_step(table, ["km"], [F.col("km")])
     step(spark.createDataFrame([(1, "a", 5.0)], table.schema), 0)
     step(spark.createDataFrame([(1, "x", 4.0), (1, "y", 9.0), (2, "z", 1.0)], table.schema), 1)
-    assert sorted(map(tuple, table.after(spark, 1).collect())) == [(1, "a", 4.0), (2, "z", 1.0)]
-
-
-T0 = dt.datetime(2024, 1, 1)
-
-
-def at(minutes):
-    return T0 + dt.timedelta(minutes=minutes)
-
-
-def test_feed_status_changes(spark, tmp_path):
-    table = VersionedTable(str(tmp_path / "seen"), jobs.SEEN)
-    out = AppendTable(str(tmp_path / "chg"), jobs.SEEN.replace(", status", ", status"))
-    step = jobs.feed_status_step(table, out)
-    feed = [[("a", at(0)), ("b", at(0))], [("b", at(30)), (None, at(31))], [(None, at(61))], [("a", at(62))]]
-    for i, batch in enumerate(feed):
-        step(spark.createDataFrame(batch, "sensor_id string, reading_ts timestamp"), i)
-    got = sorted(tuple(r) for r in out.read(spark).select("batch_id", "sensor_id", "status").collect())
-    assert got == [(1, "a", "degraded"), (2, "a", "unavailable"), (2, "b", "degraded"), (3, "a", "ok")]
-
-
-def test_satellite_silence_fires_once(spark, tmp_path):
-    table = VersionedTable(str(tmp_path / "seen"), jobs.PROVIDER_SEEN)
-    out = AppendTable(str(tmp_path / "evt"), "provider string, unavailable_since timestamp")
-    step = jobs.satellite_silence_step(table, out)
-    for i, batch in enumerate([[("p", at(0))], [(None, at(119))], [(None, at(120))], [(None, at(300))], [("p", at(301))], [(None, at(500))]]):
-        step(spark.createDataFrame(batch, "provider string, received_at timestamp"), i)
-    got = sorted(tuple(r) for r in out.read(spark).select("batch_id", "unavailable_since").collect())
-    assert got == [(2, at(0)), (5, at(301))]
+    assert sorted(map(tuple, table.read(spark).collect())) == [(1, "a", 4.0), (2, "z", 1.0)]
+
+
+def test_upsert_leaves_other_parts_alone(spark, tmp_path):
+    table = PartTable(str(tmp_path / "t"), "id bigint, v int", ["id"], 8)
+    step = jobs.upsert_step(table, ["v"], [F.col("v").desc()])
+    step(spark.range(100).selectExpr("id", "0 as v"), 0)
+    want = {i: 0 for i in range(100)}
+    before = set(table.read(spark).inputFiles())
+    for n in range(1, 9):
+        ids = [n, 100 + n]
+        batch = spark.createDataFrame([(i, n) for i in ids], table.schema)
+        touched = {r[0] for r in batch.select(table.part_of()).collect()}
+        step(batch, n)
+        want.update({i: n for i in ids})
+        if n % 3 == 0:
+            step(batch, n)  # a retried batch
+        assert dict(map(tuple, table.read(spark).collect())) == want
+        after = set(table.read(spark).inputFiles())
+        valid = {f for f in before if f"/part={min(set(range(8)) - touched)}/" in f}
+        assert valid and valid <= after
+        before = after
+    assert len(list((tmp_path / "t" / "rows").glob("part=*/slot=*"))) <= 24
+
+
+def test_a_part_may_lose_all_its_rows(spark, tmp_path):
+    table = PartTable(str(tmp_path / "t"), "k int, v int", ["k"], 2)
+    put = lambda old, new: old.join(new.select("k"), "k", "left_anti").union(new.filter("v > 0"))
+    for n, rows in enumerate([[(1, 5), (2, 5), (3, 5)], [(1, 0), (2, 0), (3, 0)], [(3, 7)], [(3, 0)]]):
+        table.update(spark.createDataFrame(rows, "k int, v int"), put, n)
+    assert table.read(spark).count() == 0
+    assert PartTable(str(tmp_path / "new"), "k int", ["k"]).read(spark).count() == 0
 
 
 def test_burst_stream_equals_batch(spark, load, tmp_path):
     r = ltz(load("crowd_reports"), "reported_at").select("report_id", "region_id", "disaster_type", "description", "reported_at")
     r = r.withColumn("reported_at", F.expr("timestamp_micros(unix_micros(reported_at) div 20)"))  # denser, so that bursts occur
     r = ordered_files(r, tmp_path, "reported_at", 3)
-    stored, out = AppendTable(str(tmp_path / "rep"), jobs.REPORT), AppendTable(
-        str(tmp_path / "out"), "report_id bigint, region_id string, disaster_type string, reported_at timestamp, report_count bigint")
+    stored = HourLog(str(tmp_path / "rep"), jobs.REPORT, "reported_at")
+    out = HourLog(str(tmp_path / "out"), "report_id bigint, region_id string, disaster_type string, reported_at timestamp, report_count bigint", "reported_at")
     finish(jobs.run(stream(spark, tmp_path, r.schema), jobs.burst_step(stored, out), str(tmp_path / "cp"), availableNow=True))
+    since, until = r.agg(F.max("reported_at") - F.expr("interval 1 hour"), F.max("reported_at")).first()
+    recent = stored.between(spark, since, until, 99)
+    assert recent.count() == r.filter(F.col("reported_at") >= F.lit(since)).count()
+    assert "PartitionFilters: [isnotnull(hour" in recent._jdf.queryExecution().toString()
     same(out.read(spark).select("report_id", "report_count"), buffers.report_bursts(r).select("report_id", "report_count"))
 
 
@@ -161,9 +191,9 @@ def test_session_stream_emits_the_closed_sessions(spark, load, tmp_path):
 def test_board_stream_equals_batch(spark, load, tmp_path):
     p = ltz(load("predictions"), "generated_at").withColumn("prediction_id", F.col("prediction_id").cast("string"))
     p = ordered_files(p.selectExpr(*[c.split()[0] for c in jobs.BOARD.split(", ")]), tmp_path, "generated_at", 3)
-    table = VersionedTable(str(tmp_path / "board"), jobs.BOARD)
+    table = PartTable(str(tmp_path / "board"), jobs.BOARD, ["region_id"])
     finish(jobs.run(stream(spark, tmp_path, p.schema), jobs.board_step(table), str(tmp_path / "cp"), availableNow=True))
-    same(table.after(spark, 2), board.latest_by_type(p))
+    same(table.read(spark), board.latest_by_type(p))
 
 
 def test_report_intake_drops_repeated_ids(spark, load, tmp_path):
@@ -191,42 +221,23 @@ def test_missing_time_is_filled_on_intake(spark):
     assert row.reject_field is None and row.reading_ts is not None
 
 
-def test_late_row_brings_no_false_recovery(spark, tmp_path):
-    seen, out = VersionedTable(str(tmp_path / "s"), jobs.SEEN), AppendTable(str(tmp_path / "c"), jobs.SEEN)
-    step = jobs.feed_status_step(seen, out)
-    # b's row at minute 10 arrives after a has been found silent; an empty batch and a retry change nothing
-    feed = [[("a", at(0)), ("b", at(0))], [(None, at(61))], [("b", at(10))], [], [(None, at(62))]]
-    for i, batch in enumerate(feed):
-        for _ in range(2):
-            step(spark.createDataFrame(batch, "sensor_id string, reading_ts timestamp"), i)
-    got = sorted(tuple(r) for r in out.read(spark).select("batch_id", "sensor_id", "status").collect())
-    assert got == [(1, "a", "unavailable"), (1, "b", "unavailable"), (2, "b", "degraded")]
-    seen, out = VersionedTable(str(tmp_path / "p"), jobs.PROVIDER_SEEN), AppendTable(str(tmp_path / "e"), "provider string, unavailable_since timestamp")
-    step = jobs.satellite_silence_step(seen, out)
-    for i, batch in enumerate([[("p", at(0))], [(None, at(130))], [("q", at(5))], [(None, at(131))]]):
-        step(spark.createDataFrame(batch, "provider string, received_at timestamp"), i)
-    assert sorted(tuple(r) for r in out.read(spark).select("batch_id", "provider").collect()) == [(1, "p"), (2, "q")]
-
-
 def test_new_checkpoint_starts_from_the_stored_rows(spark, tmp_path):
     df = spark.createDataFrame([(2, "new"), (1, "later")], "k bigint, v string")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    table = AppendTable(str(tmp_path / "t"), "k bigint, v string")
-    jobs.insert_step(table, "k")(spark.createDataFrame([(1, "old")], table.schema), 0)
-    state = VersionedTable(str(tmp_path / "v"), "k bigint, v string")
-    keep = jobs.upsert_step(state, "k", ["v"], [F.col("v")])
-    keep(spark.createDataFrame([(1, "old"), (7, "old")], state.schema), 0)
+    table = KeyLog(str(tmp_path / "t"), "k bigint, v string", "k", 4, 4)
+    jobs.insert_step(table)(spark.createDataFrame([(1, "old")], table.schema), 0)
+    state = PartTable(str(tmp_path / "v"), "k bigint, v string", ["k"], 4)
+    jobs.upsert_step(state, ["v"], [F.col("v")])(spark.createDataFrame([(1, "old"), (7, "old")], state.schema), 0)
     for n in range(2):  # twice: the second checkpoint starts from what the first left
         live = lambda: stream(spark, tmp_path, df.schema)
-        finish(jobs.run(live(), jobs.insert_step(table, "k"), f"{tmp_path}/cp{n}", (table,), availableNow=True))
-        finish(jobs.run(live(), keep, f"{tmp_path}/kp{n}", (state,), availableNow=True))
-        assert sorted(tuple(r)[:2] for r in table.read(spark).collect()) == [(1, "old"), (2, "new")]
-        assert sorted(map(tuple, state.after(spark, 0).collect())) == [(1, "later"), (2, "new"), (7, "old")]
+        finish(jobs.run(live(), jobs.insert_step(table, run=f"cp{n}"), f"{tmp_path}/cp{n}", availableNow=True))
+        finish(jobs.run(live(), jobs.upsert_step(state, ["v"], [F.col("v")], f"kp{n}"), f"{tmp_path}/kp{n}", availableNow=True))
+        assert sorted(map(tuple, table.read(spark).collect())) == [(1, "old"), (2, "new")]
+        assert sorted(map(tuple, state.read(spark).collect())) == [(1, "later"), (2, "new"), (7, "old")]
 
 
 def test_readings_flow_from_json_to_predictions(spark, load, tmp_path):
     """Source, validation, buffers, cycle and insert in one run, against the batch cycle on the same readings."""
-    from perilgrid import schemas
     from perilgrid.plans.cycle import prediction_cycle
 
     r = load("sensor_readings").limit(200)
@@ -235,11 +246,9 @@ def test_readings_flow_from_json_to_predictions(spark, load, tmp_path):
         "river_level_m", "soil_moisture_pct", "wind_speed_kmh", "wind_direction_deg", "stream_status"
     )).alias("value")).repartition(2).write.text(f"{tmp_path}/raw")
     live = jobs.validated_stream(streams.open_stream(spark, f"{tmp_path}/raw"))
-    buffer = VersionedTable(f"{tmp_path}/buf", jobs.READING)
-    out = AppendTable(f"{tmp_path}/pred", schemas.PREDICTION)
     clock = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    step = jobs.cycle_step(buffer, out, load("region_adjacency"), clock)
-    finish(jobs.run(live, step, f"{tmp_path}/cp", (buffer, out), availableNow=True))
+    live = live.select(*[c.split()[0] for c in jobs.READING.split(", ")])
+    _, out = cycles(spark, live, tmp_path, load("region_adjacency"), clock)
     clean = ltz(validate.validated(r), "reading_ts").withColumn("reading_id", F.xxhash64("sensor_id", F.unix_micros("reading_ts")))
     want = prediction_cycle(clean, load("region_adjacency"), clock)
     cut = lambda df: df.select("region_id", "disaster_type", "forecast_horizon_h", F.round("probability_pct", 6).alias("p"))
