@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilgrid.catalog.intake import ANOMALOUS, AS_OF, BUFFER, COMPLETE, as_of
+from perilgrid.catalog.intake import ANOMALOUS, AS_OF, BUFFER, COMPLETE, LAST_SILENCE, as_of, switch_of
 from perilgrid.catalog.registry import query
 from perilgrid.functions import constants as K
 from perilgrid.operators import buffers, explain
@@ -16,6 +16,7 @@ from perilgrid.operators import features as fe
 from perilgrid.operators import predict as pr
 from perilgrid.operators.models import with_head, with_image_model, with_model
 from perilgrid.plans.cycle import prediction_cycle, scored_hazards
+from perilgrid.plans.history import cycle_history, newest_of_cycles, smooth_list
 from perilgrid.sources import tables
 
 DIM = range(K.VECTOR_DIM)
@@ -170,6 +171,15 @@ def cloud(load):
     return df.select("region_id", "reading_id", "cloud_density")
 
 
+@query("f06_hazard_clouds", ["sensor_readings", "cnn_features", "satellite_images"], f"""
+    select b.region_id, reading_id, h.disaster_type, case when h.disaster_type in ('flood', 'drought', 'landslide', 'cyclone')
+        and coalesce((select max(extracted_at) from cnn_features) >= {LAST_SILENCE}, {LAST_SILENCE} is null) then cloud_density end as cloud_density
+    from {BUFFER} b {_CLOUD} cross join (values ('flood'), ('heatwave'), ('drought'), ('landslide'), ('cyclone')) h(disaster_type)""")
+def hazard_clouds(load):
+    rows = fe.hazard_readings(_buffer(load), buffers.latest_features(load("cnn_features")), switch_of(load))
+    return rows.select("region_id", "reading_id", "disaster_type", "cloud_density")
+
+
 _CATALOGUE = ", ".join(f"('{h}', {i}, '{f}')" for h in K.HAZARDS for i, f in enumerate(K.FEATURES[h]))
 
 
@@ -302,6 +312,74 @@ def cycle(load):
         six("severity_index"), "generated_at")
 
 
+# --- all cycles -----------------------------------------------------------------
+
+
+def _states(step_s: int, source: str) -> str:
+    """CTE ``states``: the smoothed fields of a region as of each cycle that brought a reading."""
+    # the same steps in the same order, so that the last digit agrees as well
+    sums = ", ".join(
+        f"list_reduce(list(coalesce(r.{f}, 0e0) order by r.j), lambda e, x: 0.3e0 * x + 0.7e0 * e) as e{i}" for i, f in enumerate(K.SENSOR_FIELDS))
+    return f"""rows_of as (select *, row_number() over (partition by region_id order by reading_ts, reading_id) as j,
+        cast(ceil(epoch_us(reading_ts) / {step_s}000000e0) as bigint) as slot from {source}),
+    tops as (select region_id, slot, max(j) as top from rows_of group by 1, 2),
+    states as (select x.region_id, x.slot, least(any_value(x.top), 24) as n_readings, {sums}
+        from tops x join rows_of r on r.region_id = x.region_id and r.j between x.top - 23 and x.top group by 1, 2)"""
+
+
+@query("w04_hourly_smoothing", ["sensor_readings"], f"""
+    with {_states(3600, "sensor_readings")} select region_id, slot, n_readings, {", ".join(f"round(e{i} + 1e-9, 6) as e{i}" for i in range(6))} from states""")
+def hourly(load):
+    rows = newest_of_cycles(load("sensor_readings")).select("region_id", "slot", F.size("newest").cast("bigint").alias("n_readings"), smooth_list(F.col("newest")).alias("ema"))
+    # short decimals often end in a 5 after the sixth place, which the engines round differently
+    return rows.select("region_id", "slot", "n_readings", *[F.round(F.col("ema")[i] + 1e-9, 6).alias(f"e{i}") for i in range(6)])
+
+
+FIRST_DAY, LAST_DAY = 19724, 19755  # 2024-01-02 to 2024-02-02, days after the epoch
+_VALID = f"(select * from sensor_readings where {COMPLETE} and not {ANOMALOUS})"
+
+
+def _history() -> str:
+    """CTEs as of ``_chain``, with a snapshot for every day."""
+    hazards = " union all ".join(
+        f"select slot, region_id, '{h}' as disaster_type, {_project(fe.ROUTED_SENSOR_FIELDS[h])} as raw from ema" for h in K.HAZARDS)
+    rounds = []
+    for r in (1, 2):
+        prev = "flood" if r == 1 else "g1"
+        rounds.append(f"""
+    m{r} as (select n.slot, a.region_id, n.vec, exp({_dot('n.vec', K.GRAPH_VECTOR)} * a.edge_weight) as e
+             from region_adjacency a join {prev} n on n.region_id = a.neighbour_id),
+    s{r} as (select slot, region_id, sum(e) as z, {", ".join(f"sum(e * vec[{k + 1}]) as s{k}" for k in DIM)} from m{r} group by 1, 2),
+    g{r} as (select p.slot, p.region_id, case when s.z is null then p.vec else
+             [{", ".join(f"0.6e0 * p.vec[{k + 1}] + 0.4e0 * s.s{k} / s.z" for k in DIM)}] end as vec
+             from {prev} p left join s{r} s on s.region_id = p.region_id and s.slot = p.slot)""")
+    return f"""{_states(86400, _VALID)},
+    days as (select unnest(range({FIRST_DAY}, {LAST_DAY + 1})) as slot),
+    ema as (select d.slot, s.* exclude (slot) from days d join states s on s.slot <= d.slot
+            qualify row_number() over (partition by d.slot, s.region_id order by s.slot desc) = 1),
+    hz as (select slot, region_id, disaster_type, {_UNIT} as vec from ({hazards})),
+    flood as (select slot, region_id, vec from hz where disaster_type = 'flood'),
+    tops_of as (select slot, max({_dot('vec', K.QUERY_VECTOR)}) as top from flood group by 1),
+    att as (select f.slot, vec, exp({_dot('vec', K.QUERY_VECTOR)} - top) as w from flood f join tops_of t on t.slot = f.slot),
+    ctx as (select slot, [{", ".join(f"sum(w * vec[{k + 1}]) / sum(w)" for k in DIM)}] as context from att group by 1),
+    {",".join(rounds)},
+    blended as (select h.slot, h.region_id, h.disaster_type, case when h.disaster_type in ('flood', 'landslide', 'cyclone')
+        then [{", ".join(f"0.7e0 * h.vec[{k + 1}] + 0.3e0 * g2.vec[{k + 1}]" for k in DIM)}] else h.vec end as vec
+        from hz h join g2 on g2.region_id = h.region_id and g2.slot = h.slot),
+    scored as (select slot, region_id, disaster_type, 1e2 / (1e0 + exp(-(own * {_dot('vec', K.SCORE_VECTOR)} + (1e0 - own) * {_dot('context', K.SCORE_VECTOR)}))) as raw_pct
+        from (select b.*, c.context, case disaster_type when 'flood' then 0.6e0 when 'heatwave' then 0.5e0 when 'drought' then 0.7e0
+                when 'landslide' then 0.6e0 else 0.4e0 end as own from blended b join ctx c on c.slot = b.slot))"""
+
+
+@query("w04_cycle_history", ["sensor_readings", "region_adjacency"], f"""
+    with {_history()} select region_id, disaster_type, h as forecast_horizon_h, round(greatest(least(raw_pct * d, 100), 0), 6) as probability_pct,
+        timestamp '1970-01-01' + to_days(slot::int) as generated_at
+    from scored, (values (6, 1e0), (24, 0.92e0), (72, 0.82e0)) t(h, d)""")
+def history(load):
+    rows = cycle_history(load("sensor_readings"), load("region_adjacency"), FIRST_DAY, LAST_DAY, 86400)
+    return rows.select("region_id", "disaster_type", "forecast_horizon_h", six("probability_pct"), "generated_at")
+
+
 # --- explanations -------------------------------------------------------------
 
 _FORMULAS = {

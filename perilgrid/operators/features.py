@@ -94,6 +94,13 @@ def with_cloud_density(buffer: DataFrame, latest_cnn: DataFrame, switch: DataFra
     )
 
 
+def hazard_readings(buffer: DataFrame, latest_cnn: DataFrame, switch: DataFrame) -> DataFrame:
+    """The buffer once per hazard; the hazards that clouds tell of get the region's newest cloud density while the switch is on."""
+    seen = with_cloud_density(buffer.drop("cloud_density"), latest_cnn, switch)
+    per = seen.withColumn("disaster_type", F.explode(F.array(*[F.lit(h) for h in K.HAZARDS])))
+    return per.withColumn("cloud_density", F.when(F.col("disaster_type").isin(*K.CLOUD_HAZARDS), F.col("cloud_density")))
+
+
 def feature_catalogue(spark: SparkSession) -> DataFrame:
     rows = [(h, i, f) for h in K.HAZARDS for i, f in enumerate(K.FEATURES[h])]
     return spark.createDataFrame(rows, "disaster_type string, position int, field string")
@@ -143,13 +150,16 @@ def weighted_sums(weight: str, vec: str) -> Column:
     return F.expr("array(" + ", ".join(f"sum({weight} * {vec}[{k}])" for k in range(K.VECTOR_DIM)) + ")")
 
 
-def region_vectors(ema: DataFrame, fields: tuple[str, ...] = K.SENSOR_FIELDS) -> DataFrame:
-    """(region_id, vec): the unit vector built from the given sensor fields."""
-    raw = ema.select("region_id", F.expr(project("ema", fields)).alias("raw"))
-    return raw.select("region_id", unit(F.col("raw")).alias("vec"))
+def region_vectors(ema: DataFrame, fields: tuple[str, ...] = K.SENSOR_FIELDS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(region_id, vec): the unit vector built from the given sensor fields.
+
+    Here and below ``by`` names columns that tell several cycles in one table apart.
+    """
+    raw = ema.select(*by, "region_id", F.expr(project("ema", fields)).alias("raw"))
+    return raw.select(*by, "region_id", unit(F.col("raw")).alias("vec"))
 
 
-def hazard_vectors(ema: DataFrame, routed_only: bool = True) -> DataFrame:
+def hazard_vectors(ema: DataFrame, routed_only: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(region_id, disaster_type, vec) for the five hazards.
 
     A routed reading carries only its hazard's own fields, and the smoothing
@@ -160,12 +170,12 @@ def hazard_vectors(ema: DataFrame, routed_only: bool = True) -> DataFrame:
         f"struct('{h}' as disaster_type, {project('ema', ROUTED_SENSOR_FIELDS[h] if routed_only else K.SENSOR_FIELDS)} as raw)"
         for h in K.HAZARDS
     )
-    rows = ema.select("region_id", F.expr(f"inline(array({per}))"))
-    return rows.select("region_id", "disaster_type", unit(F.col("raw")).alias("vec"))
+    rows = ema.select(*by, "region_id", F.expr(f"inline(array({per}))"))
+    return rows.select(*by, "region_id", "disaster_type", unit(F.col("raw")).alias("vec"))
 
 
-def attention_context(vectors: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """One row: the softmax-weighted mean of all region vectors.
+def attention_context(vectors: DataFrame, temperature: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (one for each cycle): the softmax-weighted mean of all region vectors.
 
     Softmax does not change when all scores move by a constant, which here is
     the greatest score: one aggregate over a row per region.
@@ -173,20 +183,25 @@ def attention_context(vectors: DataFrame, temperature: float = 1.0) -> DataFrame
     if temperature <= 0:
         raise ValueError(f"temperature must be > 0, got {temperature}")
     score = dot("vec", K.QUERY_VECTOR) / F.lit(temperature)
-    shift = vectors.agg(F.max(score).alias("m")).scalar()
-    weighed = vectors.select("vec", F.exp(score - shift).alias("w"))
-    sums = weighed.agg(
+    if by:
+        tops = vectors.groupBy(*by).agg(F.max(score).alias("_top"))
+        weighed = vectors.join(tops, list(by)).select(*by, "vec", F.exp(score - F.col("_top")).alias("w"))
+    else:
+        shift = vectors.agg(F.max(score).alias("m")).scalar()
+        weighed = vectors.select("vec", F.exp(score - shift).alias("w"))
+    sums = weighed.groupBy(*by).agg(
         F.sum("w").alias("z"), weighted_sums("w", "vec").alias("s")
     )
-    return sums.select(F.transform("s", lambda x: x / F.col("z")).alias("context"))
+    return sums.select(*by, F.transform("s", lambda x: x / F.col("z")).alias("context"))
 
 
-def with_context(vectors: DataFrame, temperature: float = 1.0, flood: DataFrame | None = None) -> DataFrame:
-    """Gives every row the same context, as a scalar subquery."""
-    return vectors.withColumn("context", attention_context(flood if flood is not None else vectors, temperature).scalar())
+def with_context(vectors: DataFrame, temperature: float = 1.0, flood: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gives every row the same context, as a scalar subquery; each cycle its own, if there are several."""
+    context = attention_context(flood if flood is not None else vectors, temperature, by)
+    return vectors.join(context, list(by)) if by else vectors.withColumn("context", context.scalar())
 
 
-def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degraded: bool = False) -> DataFrame:
+def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degraded: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Message passing over the region graph: 0.6 of the own vector, 0.4 of the
     neighbours' softmax-weighted mean; all regions update at once.
 
@@ -198,30 +213,31 @@ def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degrade
     if degraded:
         return vectors
     edges = adjacency.select("region_id", "neighbour_id", "edge_weight")
+    place = [*by, "region_id"]
     for _ in range(rounds):
-        theirs = vectors.select(F.col("region_id").alias("neighbour_id"), F.col("vec").alias("nvec"))
+        theirs = vectors.select(*by, F.col("region_id").alias("neighbour_id"), F.col("vec").alias("nvec"))
         scored = edges.join(theirs, "neighbour_id").withColumn("score", dot("nvec", K.GRAPH_VECTOR) * F.col("edge_weight"))
-        top = scored.groupBy("region_id").agg(F.max("score").alias("top"))
+        top = scored.groupBy(*place).agg(F.max("score").alias("top"))
         mail = (
-            scored.join(top, "region_id")
+            scored.join(top, place)
             .withColumn("e", F.exp(F.col("score") - F.col("top")))
-            .groupBy("region_id")
+            .groupBy(*place)
             .agg(F.sum("e").alias("z"), weighted_sums("e", "nvec").alias("sums"))
         )
         mean = F.transform("sums", lambda x: x / F.col("z"))
         mixed = mix(0.6, F.col("vec"), 0.4, mean)
-        vectors = vectors.join(mail, "region_id", "left").select(
-            "region_id", F.when(F.col("z").isNull(), F.col("vec")).otherwise(mixed).alias("vec")
+        vectors = vectors.join(mail, place, "left").select(
+            *place, F.when(F.col("z").isNull(), F.col("vec")).otherwise(mixed).alias("vec")
         )
     return vectors
 
 
-def blend_spatial(hazards: DataFrame, graph: DataFrame) -> DataFrame:
+def blend_spatial(hazards: DataFrame, graph: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """0.7 own + 0.3 graph vector for the hazards that spread between regions."""
-    g = graph.select("region_id", F.col("vec").alias("gvec"))
+    g = graph.select(*by, "region_id", F.col("vec").alias("gvec"))
     mixed = mix(0.7, F.col("vec"), 0.3, F.col("gvec"))
     spreads = F.col("disaster_type").isin(*K.SPATIAL_HAZARDS) & F.col("gvec").isNotNull()
-    return hazards.join(g, "region_id", "left").withColumn("vec", F.when(spreads, mixed).otherwise(F.col("vec"))).drop("gvec")
+    return hazards.join(g, [*by, "region_id"], "left").withColumn("vec", F.when(spreads, mixed).otherwise(F.col("vec"))).drop("gvec")
 
 
 def image_features(pixels: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

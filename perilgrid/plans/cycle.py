@@ -19,17 +19,18 @@ def scored_hazards(
     degraded: bool = False,
     routed_only: bool = True,
     weights: dict[str, tuple[float, float]] | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """(region_id, disaster_type, raw_pct) from the smoothed sensor fields.
 
     Every region contributes its flood vector to the shared context and to the
-    graph, as one snapshot.
+    graph, as one snapshot.  ``by`` names columns that tell several snapshots apart.
     """
     flood_fields = fe.ROUTED_SENSOR_FIELDS["flood"] if routed_only else K.SENSOR_FIELDS
-    flood = fe.region_vectors(ema, flood_fields)
-    graph = fe.propagate(flood, adjacency, degraded=degraded)
-    blended = fe.blend_spatial(fe.hazard_vectors(ema, routed_only), graph)
-    return pr.ensemble_score(fe.with_context(blended, temperature, flood), weights)
+    flood = fe.region_vectors(ema, flood_fields, by)
+    graph = fe.propagate(flood, adjacency, degraded=degraded, by=by)
+    blended = fe.blend_spatial(fe.hazard_vectors(ema, routed_only, by), graph, by)
+    return pr.ensemble_score(fe.with_context(blended, temperature, flood, by), weights)
 
 
 def prediction_cycle(
