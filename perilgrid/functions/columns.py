@@ -89,7 +89,10 @@ def _number(c: Column, least: int, most: int, whole: str, exponent_digits: int)
     mantissa = F.when(n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
     power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(exponent_digits)), F.lit("0")))
     shown = F.when((e >= least) & (e < most), plain).otherwise(F.concat(mantissa, power))
-    return F.when(c == 0, "0" + whole).when(F.isnan(c.cast("double")) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(F.concat(sign, shown))
+    # most numbers need none of this: Catalyst prints them plainly, whole ones with a zero behind the point
+    usual = c.cast("double").cast("string")
+    usual = usual if whole == ".0" else F.when(usual.endswith(".0"), F.substring(usual, F.lit(1), F.length(usual) - 2)).otherwise(usual)
+    return F.when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), usual).when(c == 0, "0" + whole).when(F.isnan(c.cast("double")) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(F.concat(sign, shown))
 
 
 def js_number(c: Column) -> Column:

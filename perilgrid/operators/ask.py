@@ -36,26 +36,27 @@ def asked_regions(questions: DataFrame, regions: DataFrame, keys: list[str]) ->
     """Adds ``region_id``: the one given with the question, else the least known
     region whose id occurs anywhere in the text.
 
-    "Occurs in" is a substring test.  To keep it an equi-join, the text is cut
-    into all its substrings of the lengths that region ids have (a short list,
-    read as a scalar), and those are matched with the ids.
+    "Occurs in" is a substring test.  To keep it an equi-join, a text is cut before every
+    place where an id may begin, which is where what all ids begin with stands (any place,
+    if they have nothing in common).  The letters from there on are looked up by as many of
+    them as the shortest id has, and what follows decides.  An id that many texts name
+    is split over several tasks.  An empty id occurs nowhere.
     """
-    lengths = regions.agg(F.array_sort(F.collect_set(F.length(F.lower("region_id"))))).scalar()
-    q = F.lower("question")
-    # a text shorter than a length gives none of that length
-    pieces = F.flatten(
-        F.transform(
-            F.col("_lens"),
-            lambda n: F.when(
-                F.length("_q") >= n,
-                F.transform(F.sequence(F.lit(1), F.length("_q") - n + 1), lambda i: F.substring(F.col("_q"), i, n)),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    open_ones = questions.filter(F.col("asked_region").isNull()).select(*keys, q.alias("_q")).withColumn("_lens", lengths)
-    tokens = open_ones.select(*keys, F.explode(F.array_distinct(pieces)).alias("_id"))
-    known = regions.select(F.lower("region_id").alias("_id"), F.col("region_id").alias("_found"))
-    found = tokens.join(known, "_id").groupBy(*keys).agg(F.min("_found").alias("_found"))
+    known = regions.select(F.lower("region_id").alias("_id"), F.col("region_id").alias("_found")).filter("_id <> ''").distinct()
+    low, high = F.min("_id").alias("low"), F.max("_id").alias("high")
+    facts = known.agg(low, high, F.min(F.length("_id")).alias("least"), F.max(F.length("_id")).alias("most"))
+    alike = F.expr("coalesce(array_max(filter(sequence(0, least), k -> left(low, k) = left(high, k))), 0)")
+    begin = F.replace(F.expr("left(low, alike)"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    facts = facts.withColumn("alike", alike).withColumn("cut", F.concat(F.lit("(?=\\Q"), begin, F.lit("\\E)")))
+    one = facts.select(F.struct("cut", "least", "most").alias("f")).scalar()
+    open_ones = questions.filter(F.col("asked_region").isNull()).select(*keys, F.lower("question").alias("_q")).withColumn("_f", one)
+    pieces = open_ones.withColumn("_pieces", F.split("_q", F.col("_f.cut"))).select(*keys, "_f", "_pieces", F.posexplode("_pieces").alias("_i", "_"))
+    # a piece has a letter at least, so this many of them are as long as any id
+    window = F.left(F.array_join(F.slice("_pieces", F.col("_i") + 1, F.col("_f.most")), ""), F.col("_f.most"))
+    hits = pieces.select(*keys, window.alias("_near"), F.left(window, F.col("_f.least")).alias("_gram"))
+    index = known.withColumn("_f", one).select("_id", "_found", F.left("_id", F.col("_f.least")).alias("_gram"))
+    met = skew_safe_join(hits, index, ["_gram"]).filter(F.startswith("_near", "_id"))
+    found = met.groupBy(*keys).agg(F.min("_found").alias("_found"))
     return questions.join(found, keys, "left").withColumn("region_id", F.coalesce("asked_region", "_found")).drop("_found")
 
 

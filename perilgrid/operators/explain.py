@@ -151,6 +151,23 @@ def explanations(predictions: DataFrame) -> DataFrame:
     )
 
 
+def store_explanations(records: DataFrame, path: str, parts: int = 32) -> None:
+    """Writes records for lookup by prediction: dealt to parts by the id, sorted within, with Bloom filters on it."""
+    part = _part_of(F.col("prediction_id"), parts)
+    dealt = records.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "prediction_id")
+    dealt.write.option("parquet.bloom.filter.enabled#prediction_id", "true").partitionBy("part").parquet(path)
+
+
+def stored_explanation(stored: DataFrame, prediction_id, parts: int = 32) -> DataFrame:
+    """The explanation of one prediction from a table that ``store_explanations`` wrote: only the id's part is read."""
+    wanted = F.lit(prediction_id).cast(stored.schema["prediction_id"].dataType)
+    return explanation_for(stored.filter(F.col("part") == _part_of(wanted, parts)).drop("part"), wanted)
+
+
+def _part_of(prediction_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(prediction_id), F.lit(parts)).cast("int")
+
+
 def explanation_for(stored: DataFrame, prediction_id) -> DataFrame:
     """The stored explanation of one prediction; the filter reaches the scan."""
     return stored.filter(F.col("prediction_id") == prediction_id).orderBy("generated_at", "explanation_id").limit(1)

@@ -189,16 +189,27 @@ VIEWS: dict[str, tuple[str, list[dict[str, str]]]] = {
             "payload": "case when payload_id % 2 = 1 then concat('[', rec, ',', replace(rec, '\"g', '\"h'), ']') else rec end",
         },
     ]),
-    "chat_queries": ("conversations", [{
-        "conv_id": "conv_id",
-        "turn": "turn",
-        "question": "case turn % 3 when 0 then concat('What is the ', case conv_id % 3 when 0 then 'Flood ' when 1 then 'cyclone ' "
-                    "else '' end, 'risk in ', upper(" + rid("(conv_id * 2)") + ")) "
-                    "when 1 then concat('Is it safe to travel to ', " + rid("(conv_id * 2)") + ") "
-                    "else case when conv_id % 2 = 0 then 'what should I prepare' else concat('how to prepare in ', "
-                    + rid("conv_id") + ") end end",
-        "asked_region": "case when conv_id % 10 = 0 and turn % 3 = 2 then " + rid("(conv_id + 1)") + " end",
-    }]),
+    # what people wrote, with words of the domain put into the middle of it
+    "chat_queries": ("conversations", [
+        {
+            "conv_id": "conv_id",
+            "turn": "turn",
+            "said": "coalesce(text, '')",
+            "put": "case turn % 3 when 0 then concat('What is the ', case conv_id % 3 when 0 then 'Flood ' when 1 then 'cyclone ' "
+                   "else '' end, 'risk in ', upper(" + rid("(conv_id * 2)") + ")) "
+                   "when 1 then concat('Is it safe to travel to ', " + rid("(conv_id * 2)") + ") "
+                   "else case when conv_id % 2 = 0 then 'what should I prepare' else concat('how to prepare in ', "
+                   + rid("conv_id") + ") end end",
+            "asked_region": "case when conv_id % 10 = 0 and turn % 3 = 2 then " + rid("(conv_id + 1)") + " end",
+        },
+        {
+            "conv_id": "conv_id",
+            "turn": "turn",
+            "question": "concat(substring(said, 1, cast((conv_id * 13 + turn * 7) % (length(said) + 1) as int)), ' ', put, ' ', "
+                        "substring(said, cast((conv_id * 13 + turn * 7) % (length(said) + 1) as int) + 1))",
+            "asked_region": "asked_region",
+        },
+    ]),
     "zones": ("supplier", [{
         "zone_id": "s_suppkey",
         "region_id": rid("s_suppkey"),
