@@ -135,6 +135,22 @@ def route_records(load):
         "distance_km", "estimated_duration_min", F.array_join(F.col("avoids").cast("array<string>"), ",").alias("avoids"), "is_blocked")
 
 
+_REQUESTS = f"""(select region_id, cast(prediction_id as varchar) as prediction_id, generated_at as due_at from predictions where risk_level = 'High'
+    union select region_id, 'recompute', recompute_at from {SESSIONS})"""
+
+
+@query("r05_requested_routes", ["road_nodes", "road_edges", "zones", "zone_edges", "predictions", "crowd_reports"], f"""
+    select sha256(concat('route|', r.query_id, '|', q.prediction_id, '|', strftime(q.due_at, '%Y-%m-%d %H:%M:%S.%f'))) as route_id,
+           r.query_id, r.region_id, q.prediction_id, r.distance_km, r.estimated_duration_min, q.due_at as computed_at
+    from ({_ROUTES}) r join {_REQUESTS} q on q.region_id = r.region_id""")
+def requested(load):
+    hazards = _hazards(load)
+    paths = routing.shortest_paths(_edges(load), _trips(load), hazards)
+    records = routing.route_records(paths, tables.road_nodes(load("road_nodes")), hazards, as_of())
+    out = routing.requested_routes(records, routing.route_requests(load("predictions"), load("crowd_reports")))
+    return out.select("route_id", "query_id", "region_id", "prediction_id", "distance_km", "estimated_duration_min", "computed_at")
+
+
 @query("r06_route_requests", ["predictions", "crowd_reports"], f"""
     select region_id, cast(prediction_id as varchar) as prediction_id, generated_at as due_at from predictions where risk_level = 'High'
     union select region_id, null, recompute_at from {SESSIONS}""")

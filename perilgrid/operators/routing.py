@@ -9,6 +9,7 @@ from perilgrid.functions import constants as K
 from perilgrid.functions.columns import haversine_km, stable_id
 from perilgrid.operators.buffers import blockage_sessions
 from perilgrid.operators.reports import blockage_reports
+from perilgrid.operators.skew import latest_per_key, skew_safe_join
 from perilgrid.session import cut_lineage
 
 
@@ -137,14 +138,6 @@ def shortest_paths(
     )
 
 
-def default_trips(regions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """From the least to the greatest node id for each region, when no trips are given."""
-    ends = nodes.agg(F.struct(F.min("node_id").alias("a"), F.max("node_id").alias("b")).alias("e")).scalar()
-    return regions.withColumn("_e", ends).select(
-        F.col("region_id").alias("query_id"), "region_id", F.col("_e.a").alias("origin"), F.col("_e.b").alias("destination")
-    )
-
-
 def route_records(paths: DataFrame, nodes: DataFrame, hazards: DataFrame, computed_at: Column) -> DataFrame:
     """Stored form of each path: way points, great-circle length, minutes at 40 km/h, avoided nodes."""
     stops = paths.select("query_id", F.posexplode("path").alias("pos", "node_id")).join(nodes, "node_id")
@@ -157,8 +150,6 @@ def route_records(paths: DataFrame, nodes: DataFrame, hazards: DataFrame, comput
     )
     km = F.aggregate(legs, F.lit(0.0), lambda acc, x: acc + x)
     # five least hazard nodes per region
-    from perilgrid.operators.skew import latest_per_key
-
     five = latest_per_key(hazards, ["region_id"], [F.col("node_id")], 5)
     avoids = five.groupBy("region_id").agg(F.array_sort(F.collect_list("node_id")).alias("avoids"))
     first, last = F.element_at("s", 1), F.element_at("s", -1)
@@ -181,6 +172,41 @@ def route_records(paths: DataFrame, nodes: DataFrame, hazards: DataFrame, comput
     )
 
 
+def repair_paths(
+    stored: DataFrame, edges: DataFrame, trips: DataFrame, hazards: DataFrame | None = None
+) -> DataFrame:
+    """Paths after roads have closed or hazards have spread, with ``repaired`` for those searched anew.
+
+    ``stored`` has the paths of ``trips`` before (as ``shortest_paths`` gives them), ``edges`` and
+    ``hazards`` hold now.  A path that uses no closed edge and enters no hazard node is
+    still the shortest, as other ways have only become fewer; so only the broken trips
+    are searched.  Roads that open again, or hazards that end, call for a full search.
+    """
+    steps = stored.select("query_id", "region_id", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1)))).alias("i"))
+    steps = steps.filter(F.col("i") < F.size("path")).select(
+        "query_id", "region_id", F.element_at("path", F.col("i")).alias("from_node"), F.element_at("path", F.col("i") + 1).alias("to_node")
+    )
+    lost = steps.join(edges.select("from_node", "to_node").distinct(), ["from_node", "to_node"], "left_anti").select("query_id")
+    if hazards is not None:
+        bad = hazards.select("region_id", F.col("node_id").alias("to_node")).distinct()
+        lost = lost.union(steps.join(bad, ["region_id", "to_node"], "left_semi").select("query_id"))
+    broken = cut_lineage(lost.distinct())
+    again = shortest_paths(edges, trips.join(broken, "query_id", "left_semi"), hazards)
+    kept = stored.join(broken, "query_id", "left_anti")
+    return kept.withColumn("repaired", F.lit(False)).unionByName(again.withColumn("repaired", F.lit(True)))
+
+
+def requested_routes(routes: DataFrame, requests: DataFrame) -> DataFrame:
+    """A route record for each request of its region: under the prediction that asked for it, or ``recompute``.
+
+    ``routes`` are the records of the region's trips; each is worked out once, however many ask.
+    """
+    asked = requests.select("region_id", F.coalesce("prediction_id", F.lit("recompute")).alias("prediction_id"), F.col("due_at").alias("computed_at"))
+    named = skew_safe_join(asked, routes.drop("computed_at", "route_id"), ["region_id"])
+    at = F.date_format("computed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return named.withColumn("route_id", stable_id(F.lit("route"), F.col("query_id").cast("string"), "prediction_id", at))
+
+
 def route_requests(predictions: DataFrame, reports: DataFrame) -> DataFrame:
     """Who needs a route: every High prediction, and each region whose blockage reports have gone quiet."""
     high = predictions.filter(F.col("risk_level") == "High").select(
