@@ -20,21 +20,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.llm.bits import bitmap, maybe
 from perilgrid.llm.words import blocks, mix, text_bytes, word_hashes
-from perilgrid.operators.skew import skew_safe_join
-from perilgrid.session import cut_lineage
+from perilgrid.session import cut_lineage, release
 
 WINDOW = 3
 _CUT_AFTER = 8
 _CONTEXT = 3
 _BLOCK = 2 << 20
+_DONE = ["_id", "text", "_rest", "n_lines", "n_removed"]
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _K = np.uint64(0xA24BAED4963EE407)
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 def _content_cuts(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -51,12 +53,13 @@ def _content_cuts(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.
     cut[ends] = True
     wide = n - _CUT_AFTER + 1
     if wide > 0:
-        least, at = value[:wide].copy(), np.arange(wide)
-        for d in range(1, _CUT_AFTER):
-            lower = value[d : d + wide] <= least
-            least[lower] = value[d : d + wide][lower]
-            at[lower] = np.flatnonzero(lower) + d
-        cut[at[line[:wide] == line[_CUT_AFTER - 1 :]]] = True
+        # the place goes into the lowest bits, so that the last of equal values is the least
+        place = np.arange(n, dtype=np.uint64)
+        least = (value & ~_PLACE) | (~place & _PLACE)
+        for step in (1, 2, 4):  # over two, four and eight words
+            least = np.minimum(least[:-step], least[step:])
+        whole = np.flatnonzero(line[:wide] == line[_CUT_AFTER - 1 :])
+        cut[whole + ((~least[whole] - whole.astype(np.uint64)) & _PLACE).astype(np.int64)] = True
     return np.flatnonzero(cut)
 
 
@@ -82,15 +85,16 @@ def lines_of(texts: pa.Array):
     return hashes, starts[at], np.searchsorted(at, before), bounds
 
 
-def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each window of a column, the text it is in, and its first line there."""
+def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each window of a column, the text it is in, its first line there; and the lines of each text."""
     h, _, before, _ = lines_of(texts)
-    count = np.maximum(np.diff(before) - WINDOW + 1, 0)
+    lines = np.diff(before)
+    count = np.maximum(lines - WINDOW + 1, 0)
     rows = np.repeat(np.arange(len(count)), count)
     pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     at = before[rows] + pos
     w = mix(mix(h[at] * _K + h[at + 1]) * _K + h[at + 2]) if len(at) else np.zeros(0, np.uint64)
-    return w, rows, pos
+    return w, rows, pos, lines
 
 
 def _repeated(source: DataFrame) -> DataFrame:
@@ -112,7 +116,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id``, ``_row``, ``starts``: the first lines of the later windows of each text that has any."""
+    """``_id``, ``_row``, ``n_lines``, ``starts``: of each text its lines, and the first lines of its later windows."""
     source = _source(docs, id_col, text_col)
     kind = source.schema["_id"].dataType.simpleString()
     repeated = _repeated(source)
@@ -122,21 +126,25 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def build(batches):
         for batch in batches:
             for part in blocks(batch, "text", _BLOCK):
-                w, rows, pos = _windows(part.column(2))
+                w, rows, pos, lines = _windows(part.column(2))
                 some = maybe(known.value, w)
                 take = pa.array(rows[some], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(w[some].view(np.int64)), pa.array(pos[some], pa.int32())],
-                    ["_id", "_row", "window", "pos"],
-                )
+                cols = [part.column(0).take(take), part.column(1).take(take), pa.array(w[some].view(np.int64)), pa.array(pos[some], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "_row", "window", "pos"])
+                # and a row without a window for the number of lines
+                cols = [part.column(0), part.column(1), pa.nulls(part.num_rows, pa.int64()), pa.array(lines, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "_row", "window", "pos"])
 
     found = cut_lineage(source.mapInArrow(build, f"_id {kind}, _row bigint, window bigint, pos int"))
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("pos").alias("pos"))
-    first = found.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    # one passage may stand in a third of all texts
-    met = skew_safe_join(found, first.select("window", "first"), ["window"])
-    later = met.filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("_id", "_row").agg(F.collect_set("pos").alias("starts"))
+    first = found.filter("window is not null").groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # one passage may stand in a third of all texts: adaptive execution splits the larger side
+    later = found.join(first.select("window", "first"), "window").filter(~place.eqNullSafe(F.col("first")))
+    sizes = found.filter("window is null").select("_id", "_row", F.col("pos").alias("n_lines"), F.lit(None).cast("int").alias("pos"))
+    both = sizes.union(later.select("_id", "_row", F.lit(None).cast("int").alias("n_lines"), "pos"))
+    cuts = cut_lineage(both.groupBy("_id", "_row").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("starts")))
+    release(repeated, found)
+    return cuts
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,30 +167,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     cuts = later_windows(docs, id_col, text_col)
     same = source["_id"].eqNullSafe(cuts["_id"]) & (source["_row"] == cuts["_row"])
-    joined = source.join(cuts, same, "left").select(source["_id"], source["text"], cuts["starts"], "_rest")
+    joined = source.join(cuts, same, "left").select(source["_id"], source["text"], "starts", "_rest", "n_lines")
 
     def remove(batches):
         for batch in batches:
-            for part in blocks(batch, "text", _BLOCK):
+            some = pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0)
+            rest = batch.filter(pa.compute.invert(some))
+            none = pa.array(np.zeros(rest.num_rows, np.int32))
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), rest.column(3), rest.column(4), none], _DONE)
+            for part in blocks(batch.filter(some), "text", _BLOCK):
                 texts = part.column(1)
                 data, _ = text_bytes(texts)
                 _, starts, before, bounds = lines_of(texts)
                 out, gone = [], []
-                for i, (text, cut) in enumerate(zip(texts, part.column(2))):
+                for i, cut in enumerate(part.column(2)):
                     drop = np.zeros(int(before[i + 1] - before[i]), bool)
-                    if cut.is_valid:
-                        drop[(np.asarray(cut.as_py())[:, None] + np.arange(WINDOW)).ravel()] = True
+                    drop[(np.asarray(cut.as_py())[:, None] + np.arange(WINDOW)).ravel()] = True
                     gone.append(int(drop.sum()))
-                    if not gone[-1]:
-                        out.append(text.as_py())
-                        continue
                     edges = np.concatenate(([bounds[i]], starts[before[i] + 1 : before[i + 1]], [bounds[i + 1]]))
                     out.append(b"".join(data[edges[k] : edges[k + 1]].tobytes() for k in np.flatnonzero(~drop)).decode())
-                counts = [pa.array(np.diff(before).astype(np.int32)), pa.array(gone, pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(out, pa.string()), part.column(3), *counts],
-                    ["_id", "text", "_rest", "n_lines", "n_removed"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), part.column(3), part.column(4), pa.array(gone, pa.int32())], _DONE)
 
     schema = joined.select("_id", "text", "_rest").schema.add("n_lines", "integer").add("n_removed", "integer")
     done = joined.mapInArrow(remove, schema)
