@@ -22,12 +22,14 @@ from perilgrid.llm.bits import bitmap, maybe
 from perilgrid.llm.components import components
 from perilgrid.llm.sketches import FOLDED_BITS, WIDE_BITS, WIDE_FROM, band_keys, folded
 from perilgrid.llm.words import blocks, mix, shingle_sets
-from perilgrid.session import cut_lineage
+from perilgrid.session import cut_lineage, release
 
 _PARTS = FOLDED_BITS // 64
 _LONGS = pa.list_(pa.int64())
 _HOT_IN_BLOCK, _HOT = 2, 8
-_BLOCK = 16 << 20
+_BLOCK = 4 << 20
+#: Sets that a task remembers, so as not to sketch copies again.
+_COPIES = 50_000
 _CLOSEST = 3
 
 
@@ -61,12 +63,14 @@ def _sketched(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     def build(batches):
         hot, done = shared.value, set()
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 2 << 20):
                 sizes, nodes, sketches, wide, keys = [], [], [], [], []
                 for s in shingle_sets(part.column(2)):
                     node = _node(s) if len(s) else None
                     first = node is not None and node not in done
                     done.add(node)
+                    if len(done) > _COPIES:
+                        done.clear()
                     sizes.append(len(s))
                     nodes.append(node)
                     sketches.append(folded(s).view(np.int64) if first else None)
@@ -80,8 +84,8 @@ def _sketched(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     return texts.mapInArrow(build, f"_id {kind}, hash bigint, n bigint, node bigint, sketch array<bigint>, wide array<bigint>, keys array<bigint>")
 
 
-def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of nodes that share a key: ``node``, ``n``, ``hash`` and sketch columns; ``node``, ``n``, ``wide`` of
+def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of nodes that share a key: the table of all they have; ``node``, ``n``, ``hash`` and sketch columns; ``node``, ``n``, ``wide`` of
     the large ones; and their ``key``, ``node`` rows.
 
     A bitmap of keys that occur twice keeps the others out of the shuffle.
@@ -108,7 +112,7 @@ def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame,
     common = member.groupBy("key").count().filter("count > 1")
     sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(_PARTS)]
     wide = nodes.filter("wide is not null").select("node", "n", "wide")
-    return nodes.select("node", "n", "hash", *sketch), wide, cut_lineage(member.join(common.select("key"), "key"))
+    return nodes, nodes.select("node", "n", "hash", *sketch), wide, cut_lineage(member.join(common.select("key"), "key"))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -176,7 +180,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     similar = 7 * both >= 3 * (F.size("of_a") + F.size("of_b"))
-    return cut_lineage(pairs.join(y, "b").join(x, "a").filter(similar).select("a", "b"))
+    found = cut_lineage(pairs.join(y, "b").join(x, "a").filter(similar).select("a", "b"))
+    release(sets)
+    return found
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,16 +199,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     sketched = cut_lineage(_sketched(texts, _frequent(texts)))
-    nodes, wide, member = _members(sketched)
+    table, nodes, wide, member = _members(sketched)
     pairs = cut_lineage(_leader_pairs(member, nodes, wide))
     links, tried = _verified(pairs, nodes, texts), pairs
-    roots = components(links)
+    roots, done = components(links), [table, member, pairs, links]
     for closest_only in (True, False):
         apart = _cross_pairs(member, nodes, wide, roots)
         pairs = (_closest(apart) if closest_only else apart.select("a", "b")).join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        links, tried = links.union(_verified(pairs, nodes, texts)), tried.union(pairs)
+        new = _verified(pairs, nodes, texts)
+        links, tried = links.union(new), tried.union(pairs)
+        done += [pairs, new, roots]
         roots = components(links)
+    release(*done)
     rows = sketched.join(roots, "node", "left").select("_id", "n", "hash", F.coalesce("root", "node").alias("root"))
     least = rows.filter("root is not null").groupBy("root").agg(F.min("_id").alias("least"))
     return rows.join(least, "root", "left").select(
