@@ -61,19 +61,20 @@ def event_timeline(events: DataFrame, n: int = 500, **filters) -> DataFrame:
 def predicted_vs_actual(predictions: DataFrame, outcomes: DataFrame, n: int = 500, **filters) -> DataFrame:
     """Newest outcomes next to what was predicted.
 
-    Only the first ``n`` outcomes of one prediction can be among the first
-    ``n`` rows, so a prediction with very many outcomes is cut to ``n`` per map
-    task before the join; the result is the same.
+    The first ``n`` rows belong to the newest ``n`` predictions that have an outcome, so
+    these few are found first and only their outcomes are put in order.
     """
     left = optional_filter(predictions, "generated_at", **filters).select(
         "prediction_id", "region_id", "disaster_type", "forecast_horizon_h",
         F.col("risk_level").alias("predicted_risk_level"),
         F.col("probability_pct").alias("predicted_probability_pct"), "generated_at",
     )
+    newest = [F.col("generated_at").desc(), F.col("prediction_id").desc()]
     within = [F.col("outcome_no"), F.col("actual_severity"), F.col("actual_occurred")]
     seen = outcomes.select("prediction_id", "outcome_no", "actual_occurred", "actual_severity")
-    both = left.join(latest_per_key(seen, ["prediction_id"], within, n), "prediction_id")
-    return both.orderBy(F.col("generated_at").desc(), F.col("prediction_id").desc(), *within).limit(n)
+    few = left.join(seen.select("prediction_id"), "prediction_id", "left_semi").orderBy(*newest).limit(n)
+    # ``n`` rows at most
+    return seen.join(F.broadcast(few), "prediction_id").select(*few.columns, *seen.columns[1:]).orderBy(*newest, *within).limit(n)
 
 
 def accuracy(predictions: DataFrame, outcomes: DataFrame, **filters) -> DataFrame:
