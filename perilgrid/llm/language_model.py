@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from perilgrid.llm.elias_fano import EliasFano, PairTrie, encode
 from perilgrid.llm.words import blocks, mix, word_hashes
-from perilgrid.session import cut_lineage
+from perilgrid.session import cut_lineage, release
 
 _U = np.uint64
 _END = mix(np.array([0xE0D0], np.uint64))[0]
@@ -41,8 +41,10 @@ _NONE = 65535
 _STEP = 1 / 4096
 _ABOVE = 3.0
 _SUMS = ["batch", "doc", "base", "n_known", "lm"]
-_BATCH = 16 << 20
-_SHARD_TOKENS = 8_000_000
+_BATCH = 4 << 20
+#: Texts to a batch at most, so that their places take two bytes.
+_DOCS = 65_535
+_SHARD_TOKENS = 3_000_000
 _LEAST_SHARDS = 16
 #: Kinds of pairs with words outside the vocabulary.
 _RARE_SECOND, _RARE_FIRST, _RARE_BOTH = 3, 4, 5
@@ -138,7 +140,7 @@ def _spread(texts: DataFrame, stats: _Stats, shards: int, all_pairs: bool) -> Da
     def spread(batches):
         s, serial = shared.value, TaskContext.get().partitionId() << 32
         for big in batches:
-            for part in blocks(big, "text", _BATCH):
+            for part in (p.slice(a, _DOCS) for p in blocks(big, "text", _BATCH) for a in range(0, p.num_rows, _DOCS)):
                 serial += 1
                 tokens, sizes = _tokens(part.column(2))
                 n = part.num_rows
@@ -161,12 +163,12 @@ def _spread(texts: DataFrame, stats: _Stats, shards: int, all_pairs: bool) -> Da
                 rare, rare_doc = tokens[~known], doc[~known]
                 order = np.argsort(rare, kind="stable")
                 key = rare[order]
-                rows = list(_rows(serial, 1, ((key >> _U(32)) * _U(shards)) >> _U(32), key, rare_doc[order].astype(np.int32), train))
+                rows = list(_rows(serial, 1, ((key >> _U(32)) * _U(shards)) >> _U(32), key, rare_doc[order].astype(np.uint16), train))
                 both = after & known
                 pair = (prev[both].astype(np.uint64) << _U(16)) | wid[both].astype(np.uint64)
                 shard = ((mix(pair) >> _U(32)) * _U(shards)) >> _U(32)
                 order = np.argsort((shard << _U(32)) | pair, kind="stable")
-                rows += _rows(serial, 2, shard[order], pair[order], doc[both][order].astype(np.int32), train)
+                rows += _rows(serial, 2, shard[order], pair[order], doc[both][order].astype(np.uint16), train)
                 if all_pairs:
                     before = np.concatenate((tokens[:1], tokens[:-1]))
                     before[start] = _END
@@ -178,7 +180,7 @@ def _spread(texts: DataFrame, stats: _Stats, shards: int, all_pairs: bool) -> Da
                         order = np.flatnonzero(where)
                         order = order[np.lexsort((other[order], key[order]))]
                         shard = ((key[order] >> _U(32)) * _U(shards)) >> _U(32)
-                        rows += _rows(serial, kind, shard, key[order], doc[order].astype(np.int32), train, other[order])
+                        rows += _rows(serial, kind, shard, key[order], doc[order].astype(np.uint16), train, other[order])
                 if rows:
                     m = len(rows)
                     cols = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
@@ -200,7 +202,7 @@ class _Part:
         self.keys = keys.values(0, keys.n) if keys.n <= 1 << 15 else np.concatenate([keys.values(a, a + (1 << 15)) for a in range(0, keys.n, 1 << 15)])
         if row["other"] is not None:
             self.other = np.frombuffer(row["other"], np.uint64 if row["kind"] == _RARE_BOTH else np.uint16)
-        self.docs = np.frombuffer(row["docs"], np.int32)
+        self.docs = np.frombuffer(row["docs"], np.uint16)
         first = EliasFano(row["starts"])
         self.starts = np.concatenate([first.values(a, a + (1 << 15)) for a in range(0, first.n, 1 << 15)]).astype(np.int64)
         flags = np.unpackbits(np.frombuffer(row["train"], np.uint8))[self.docs]
@@ -256,12 +258,18 @@ def _score_shard(stats: _Stats, all_pairs: bool, table: pa.Table):
         add(p, stats.base(c), c > 0, stats.single(c) + rest)
 
     def look(parts, span, value):
-        """Each part with what a trie of the training pairs says of the part's pairs."""
-        found, times = _totals(parts)
+        """Each part with what a trie of the training pairs says of the part's pairs; all parts are looked up in one go."""
+        if not parts:
+            return
+        keys, where = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([p.counts for p in parts]), len(keys)).astype(np.int64)
+        found, times = keys[times > 0], times[times > 0]
         first, second = (found // _U(span)).astype(np.int64), (found % _U(span)).astype(np.int64)
         trie = PairTrie(first, second, value(first, second, times), span, _STEP)
+        values, at = trie.lookup(keys // _U(span), keys % _U(span))[where], 0
         for p in parts:
-            yield p, trie.lookup(p.keys // _U(span), p.keys % _U(span))
+            yield p, values[at : at + len(p.keys)]
+            at += len(p.keys)
 
     def gains(parts, span, value):
         for p, gain in look(parts, span, value):
@@ -307,7 +315,7 @@ def _score_shard(stats: _Stats, all_pairs: bool, table: pa.Table):
         return own
     batch, docs, word, near = (np.concatenate(x) for x in zip(*wanting))
     none = np.zeros(len(near))
-    more = [batch.astype(np.int64), docs, none, none.astype(np.int64), none, word, near]
+    more = [batch.astype(np.int64), docs.astype(np.int32), none, none.astype(np.int64), none, word, near]
     return pa.concat_tables([own, pa.table(dict(zip(own.column_names, more)))])
 
 
@@ -329,7 +337,7 @@ def score_texts(
     not ``held``; a row with a null id is learnt from.  Tokens are the lower-cased
     words (A-Z) and one end; null and empty texts are one end.  The first word
     follows an end.  ``vocabulary`` has to be below 65,535; with ``all_pairs`` it only
-says which counts all tasks get, and does not change a score.  Repeated rows are
+    says which counts all tasks get, and does not change a score.  Repeated rows are
     counted and scored each.  An empty table gives no rows.  Other columns are
     not read.
     """
@@ -344,16 +352,18 @@ says which counts all tasks get, and does not change a score.  Repeated rows are
         .groupBy("shard")
         .applyInArrow(lambda table: _score_shard(shared.value, all_pairs, table), "batch bigint, doc int, base double, n_known bigint, lm double, word bigint, near double")
     )
+    sums = cut_lineage(sums)
+    own = cut_lineage(sent.filter("kind = 0"))
+    release(sent)
     if all_pairs:
-        sums = cut_lineage(sums)
         single = F.col("n") * ((1 - stats.unknown) / max(stats.n, 1))
         rare = sums.filter("word is not null").join(counts, "word").withColumn("lm", F.log10(1 + F.col("near") / single))
         sums = sums.filter("word is null").select(*_SUMS).union(rare.select(*_SUMS))
     zero = F.lit(None)
     extra = sums.select("batch", "doc", zero.cast(texts.schema["_id"].dataType).alias("_id"), zero.cast("boolean").alias("held"), F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "base", "lm")
-    own = sent.filter("kind = 0").select(*extra.columns)
     return (
-        own.union(extra)
+        own.select(*extra.columns)
+        .union(extra)
         .groupBy("batch", "doc")
         .agg(*[F.max(c).alias(c) for c in ("_id", "held")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lm")])
         .select(
