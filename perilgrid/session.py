@@ -51,8 +51,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the rows under the shared folder and reads them back.
+def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Writes the rows under the shared folder and reads them back; ``codec`` is another compression for large ones.
 
     A lost executor then costs a read and not a replay.  A written table is
     used rather than ``checkpoint()`` because a checkpoint carries the size
@@ -60,7 +60,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     every round, while a table's size is that of its files.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
