@@ -345,14 +345,14 @@ def score_texts(
         raise ValueError("the vocabulary has to be below 65,535")
     texts = docs.select(F.col(id_col).alias("_id"), _train_flag(id_col, folds, held).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stats, tokens, counts = _learn(texts, vocabulary, rare_share=rare_share, often_share=often_share, often=often)
-    sent = cut_lineage(_spread(texts, stats, max(_LEAST_SHARDS, -(-tokens // _SHARD_TOKENS)), all_pairs))
+    sent = cut_lineage(_spread(texts, stats, max(_LEAST_SHARDS, -(-tokens // _SHARD_TOKENS)), all_pairs), "zstd")
     shared = docs.sparkSession.sparkContext.broadcast(stats)
     sums = (
         sent.filter("kind > 0")
         .groupBy("shard")
         .applyInArrow(lambda table: _score_shard(shared.value, all_pairs, table), "batch bigint, doc int, base double, n_known bigint, lm double, word bigint, near double")
     )
-    sums = cut_lineage(sums)
+    sums = cut_lineage(sums, "zstd")
     own = cut_lineage(sent.filter("kind = 0"))
     release(sent)
     if all_pairs:
