@@ -555,3 +555,23 @@ def test_one_region_with_most_users(spark):
     got = alerts.alert_records(p, users, tries, F.lit("2024-01-01").cast("timestamp")).collect()
     assert len(got) == 300 and all(r.dispatched_at is not None for r in got)
     assert [(r.prediction_id, r.user_id, r.retry_count) for r in got if r.delivery_status == "sent"] == [(1, 11, 1)]
+
+
+def test_outcomes_are_looked_up_without_moving_the_sends(spark):
+    users = spark.createDataFrame(
+        [(i, ["big", "big", "other"] if i % 2 else ["big"], "en", f"+{i}" if i % 3 else None, "t", ["sms", "push", "voice"]) for i in range(150)]
+        + [(7, ["big"], "fr", "+7", None, ["sms"]), (None, ["big"], "en", "+", "t", ["push"])],
+        "user_id bigint, region_ids array<string>, language_code string, phone_number string, push_token string, notification_channels array<string>",
+    )
+    p = spark.createDataFrame([(1, "big", "High"), (1, "other", "High"), (2, "big", "Low"), (3, "other", "Medium"), (3, "other", "Medium"), (4, "none", "High")],
+                              "prediction_id int, region_id string, risk_level string")
+    tries = [(n, u, c, t, k, (u + k + n) % 3 == 0) for n in (1, 2, 3, 9) for u in range(0, 400, 3) for c in ("sms", "push", "voice") for t, k in ((c, 0), ("sms", 1), ("sms", 2))]
+    tries = spark.createDataFrame([*tries, (1, None, "push", "push", 0, True)], "prediction_id int, user_id int, channel string, transport string, attempt int, ok boolean")
+    names = ["prediction_id", "region_id", "user_id", "channel", "language_code", "delivery_status", "retry_count", "sent_channel"]
+    cut = lambda df: sorted(map(str, df.select(*names).collect()))
+    got = alerts.delivered(p, users, tries)
+    assert cut(got) == cut(alerts.delivery_outcomes(alerts.sends(p, users), tries)) and got.count() > 800
+    # the join that makes the sends is the last one: none of its rows is moved again
+    plan = alerts.alert_records(p.withColumns({"disaster_type": F.lit("flood"), "time_to_impact_h": F.lit(1.0)}), users, tries, F.current_timestamp())
+    top = plan._jdf.queryExecution().executedPlan().toString().split("Join ")[1].split("\n")[0]
+    assert "region_id" in top and "user_id" not in top
