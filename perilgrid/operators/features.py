@@ -145,9 +145,9 @@ def mix(a: float, left: Column, b: float, right: Column) -> Column:
     return F.zip_with(left, right, lambda x, y: F.lit(a) * x + F.lit(b) * y)
 
 
-def weighted_sums(weight: str, vec: str) -> Column:
+def weighted_sums(weight: str, vec: str, size: int = K.VECTOR_DIM) -> Column:
     """Component-wise ``sum(weight * vec)`` as an array; plain sums, so they combine before a shuffle."""
-    return F.expr("array(" + ", ".join(f"sum({weight} * {vec}[{k}])" for k in range(K.VECTOR_DIM)) + ")")
+    return F.expr("array(" + ", ".join(f"sum({weight} * {vec}[{k}])" for k in range(size)) + ")")
 
 
 def region_vectors(ema: DataFrame, fields: tuple[str, ...] = K.SENSOR_FIELDS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -159,6 +159,31 @@ def region_vectors(ema: DataFrame, fields: tuple[str, ...] = K.SENSOR_FIELDS, by
     return raw.select(*by, "region_id", unit(F.col("raw")).alias("vec"))
 
 
+def region_parts(ema: DataFrame, fields: tuple[str, ...] = K.SENSOR_FIELDS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(region_id, vec): the fields themselves, scaled so that ``projected`` makes the unit vector of them.
+
+    Context and graph only weigh and add vectors, so they may as well work on these few
+    numbers, with weights as the fields see them (``seen_by``), and what moves between
+    regions is that much smaller.
+    """
+    norm = F.aggregate(F.expr(project("ema", fields)), F.lit(0.0), lambda acc, x: acc + x * x, F.sqrt)
+    own = F.expr(f"array({', '.join(f'ema[{K.SENSOR_FIELDS.index(f)}]' for f in fields)})")
+    raw = ema.select(*by, "region_id", own.alias("raw"), norm.alias("norm"))
+    scaled = F.when(F.col("norm") > 0, F.transform("raw", lambda x: x / F.col("norm"))).otherwise(F.col("raw"))
+    return raw.select(*by, "region_id", scaled.alias("vec"))
+
+
+def seen_by(fields: tuple[str, ...], weights: list[float]) -> list[float]:
+    """Weights of the fields that give the dot product of their projection with ``weights``."""
+    return [sum(w * p for w, p in zip(weights, K.PROJECTION[K.SENSOR_FIELDS.index(f)])) for f in fields]
+
+
+def projected(df: DataFrame, fields: tuple[str, ...], vec: str = "vec") -> DataFrame:
+    """Vectors in place of the values of their fields."""
+    cells = [" + ".join(f"{vec}[{i}] * {sql_literal(K.PROJECTION[K.SENSOR_FIELDS.index(f)][k])}" for i, f in enumerate(fields)) for k in range(K.VECTOR_DIM)]
+    return df.withColumn(vec, F.expr(f"array({', '.join(cells)})"))
+
+
 def hazard_vectors(ema: DataFrame, routed_only: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(region_id, disaster_type, vec) for the five hazards.
 
@@ -174,15 +199,16 @@ def hazard_vectors(ema: DataFrame, routed_only: bool = True, by: tuple[str, ...]
     return rows.select(*by, "region_id", "disaster_type", unit(F.col("raw")).alias("vec"))
 
 
-def attention_context(vectors: DataFrame, temperature: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+def attention_context(vectors: DataFrame, temperature: float = 1.0, by: tuple[str, ...] = (), query: list[float] = K.QUERY_VECTOR) -> DataFrame:
     """One row (one for each cycle): the softmax-weighted mean of all region vectors.
 
     Softmax does not change when all scores move by a constant, which here is
-    the greatest score: one aggregate over a row per region.
+    the greatest score: one aggregate over a row per region.  ``query`` weighs the
+    components, of which there are as many.
     """
     if temperature <= 0:
         raise ValueError(f"temperature must be > 0, got {temperature}")
-    score = dot("vec", K.QUERY_VECTOR) / F.lit(temperature)
+    score = dot("vec", query) / F.lit(temperature)
     if by:
         tops = vectors.groupBy(*by).agg(F.max(score).alias("_top"))
         weighed = vectors.join(tops, list(by)).select(*by, "vec", F.exp(score - F.col("_top")).alias("w"))
@@ -190,25 +216,36 @@ def attention_context(vectors: DataFrame, temperature: float = 1.0, by: tuple[st
         shift = vectors.agg(F.max(score).alias("m")).scalar()
         weighed = vectors.select("vec", F.exp(score - shift).alias("w"))
     sums = weighed.groupBy(*by).agg(
-        F.sum("w").alias("z"), weighted_sums("w", "vec").alias("s")
+        F.sum("w").alias("z"), weighted_sums("w", "vec", len(query)).alias("s")
     )
     return sums.select(*by, F.transform("s", lambda x: x / F.col("z")).alias("context"))
 
 
-def with_context(vectors: DataFrame, temperature: float = 1.0, flood: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Gives every row the same context, as a scalar subquery; each cycle its own, if there are several."""
-    context = attention_context(flood if flood is not None else vectors, temperature, by)
+def with_context(
+    vectors: DataFrame, temperature: float = 1.0, flood: DataFrame | None = None, by: tuple[str, ...] = (), fields: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Gives every row the same context, as a scalar subquery; each cycle its own, if there are several.
+
+    With ``fields``, ``flood`` has the ``region_parts`` of these fields.
+    """
+    if fields:
+        context = projected(attention_context(flood, temperature, by, seen_by(fields, K.QUERY_VECTOR)), fields, "context")
+    else:
+        context = attention_context(flood if flood is not None else vectors, temperature, by)
     return vectors.join(context, list(by)) if by else vectors.withColumn("context", context.scalar())
 
 
-def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degraded: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def propagate(
+    vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degraded: bool = False, by: tuple[str, ...] = (), weights: list[float] = K.GRAPH_VECTOR
+) -> DataFrame:
     """Message passing over the region graph: 0.6 of the own vector, 0.4 of the
     neighbours' softmax-weighted mean; all regions update at once.
 
     Each region's scores are shifted by their greatest before the exponential,
     so any edge weight will do.  Both the greatest score and the sums are
     pre-aggregated before their shuffle; a hub's edges in the joins are left to
-    adaptive execution, which splits them.
+    adaptive execution, which splits them.  ``weights`` give a vector's score and
+    are as many as its components; a message carries that many numbers.
     """
     if degraded:
         return vectors
@@ -216,13 +253,13 @@ def propagate(vectors: DataFrame, adjacency: DataFrame, rounds: int = 2, degrade
     place = [*by, "region_id"]
     for _ in range(rounds):
         theirs = vectors.select(*by, F.col("region_id").alias("neighbour_id"), F.col("vec").alias("nvec"))
-        scored = edges.join(theirs, "neighbour_id").withColumn("score", dot("nvec", K.GRAPH_VECTOR) * F.col("edge_weight"))
+        scored = edges.join(theirs, "neighbour_id").withColumn("score", dot("nvec", weights) * F.col("edge_weight"))
         top = scored.groupBy(*place).agg(F.max("score").alias("top"))
         mail = (
             scored.join(top, place)
             .withColumn("e", F.exp(F.col("score") - F.col("top")))
             .groupBy(*place)
-            .agg(F.sum("e").alias("z"), weighted_sums("e", "nvec").alias("sums"))
+            .agg(F.sum("e").alias("z"), weighted_sums("e", "nvec", len(weights)).alias("sums"))
         )
         mean = F.transform("sums", lambda x: x / F.col("z"))
         mixed = mix(0.6, F.col("vec"), 0.4, mean)

@@ -25,12 +25,13 @@ def scored_hazards(
 
     Every region contributes its flood vector to the shared context and to the
     graph, as one snapshot.  ``by`` names columns that tell several snapshots apart.
+    What moves between regions are the fields of the vectors, not their projections.
     """
     flood_fields = fe.ROUTED_SENSOR_FIELDS["flood"] if routed_only else K.SENSOR_FIELDS
-    flood = fe.region_vectors(ema, flood_fields, by)
-    graph = fe.propagate(flood, adjacency, degraded=degraded, by=by)
-    blended = fe.blend_spatial(fe.hazard_vectors(ema, routed_only, by), graph, by)
-    return pr.ensemble_score(fe.with_context(blended, temperature, flood, by), weights)
+    flood = fe.region_parts(ema, flood_fields, by)
+    graph = fe.propagate(flood, adjacency, degraded=degraded, by=by, weights=fe.seen_by(flood_fields, K.GRAPH_VECTOR))
+    blended = fe.blend_spatial(fe.hazard_vectors(ema, routed_only, by), fe.projected(graph, flood_fields), by)
+    return pr.ensemble_score(fe.with_context(blended, temperature, flood, by, flood_fields), weights)
 
 
 def prediction_cycle(

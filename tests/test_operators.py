@@ -128,6 +128,32 @@ def test_propagate_matches_numpy(spark):
     assert got.keys() == cur.keys() and all(np.allclose(got[r], cur[r]) for r in cur)
 
 
+def test_fields_move_in_place_of_their_projections(spark):
+    rng = np.random.default_rng(6)
+    fields = ("rainfall_mm", "river_level_m", "soil_moisture_pct")
+    rows = [(slot, f"r{i}", [0.0] * 6 if i == 4 else [float(x) for x in rng.standard_normal(6)]) for slot in (1, 2) for i in range(5)]
+    ema = spark.createDataFrame(rows, "slot int, region_id string, ema array<double>")
+    edges = [(f"r{i}", f"r{j}", float(w)) for i, j, w in [(0, 1, 0.5), (0, 2, 1), (1, 0, 900), (1, 2, -900), (2, 4, 1), (4, 0, 0.2), (4, 3, 0.1)]]
+    roads = spark.createDataFrame(edges, "region_id string, neighbour_id string, edge_weight double")
+    by = ("slot",)
+    whole, parts = fe.region_vectors(ema, fields, by), fe.region_parts(ema, fields, by)
+    moved = fe.propagate(parts, roads, by=by, weights=fe.seen_by(fields, K.GRAPH_VECTOR))
+    near = lambda a, b: all(x[:-1] == y[:-1] and np.allclose(x[-1], y[-1], rtol=0, atol=1e-12) for x, y in zip(sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect())), strict=True))
+    assert near(fe.projected(parts, fields), whole)
+    assert near(fe.projected(moved, fields), fe.propagate(whole, roads, by=by))
+    assert {len(r.vec) for r in moved.collect()} == {3}
+    given = [fe.with_context(whole, 0.5, *with_) for with_ in ((whole, by), (parts, by, fields))]
+    assert near(*[g.select("slot", "region_id", "context") for g in given])
+
+
+def test_history_sends_no_projections(spark, load):
+    from perilgrid.plans.history import cycle_history
+
+    plan = cycle_history(load("sensor_readings"), load("region_adjacency"), 19724, 19725, 86400)._jdf.queryExecution().executedPlan().toString()
+    # sums of messages: one for each field and none for the other components
+    assert not [line for line in plan.split("\n") if "Aggregate" in line and "[15])" in line]
+
+
 # --- feature sets ---------------------------------------------------------------
 
 
