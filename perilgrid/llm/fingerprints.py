@@ -30,6 +30,8 @@ _QUARTER = 16
 #: Digests of both texts per page in the first try; halved from one try to the next.
 _PER_PAGE = 24.0
 _CHECK = 77
+#: Digests of both texts of all pairs that one task takes; the cells of more do not fit a task's memory and are spilled.
+_PER_TASK = 50_000
 #: Rounds of peeling in one try; what is left after them counts as a failure.
 _ROUNDS = 7
 
@@ -163,6 +165,12 @@ def subtract(pairs: DataFrame, keys: list[str], turn: int, per_page: float) -> D
     return cells.groupBy(*keys).agg(came.alias("found"), F.count_if(F.col("i") >= 0).alias("left"))
 
 
+def _tasks(pairs: DataFrame) -> int:
+    """How many tasks subtract these pairs: as many as shuffles have, more if the digests call for it."""
+    held = pairs.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
+    return max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // _PER_TASK))
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_content: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are.
 
@@ -202,10 +210,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = table.select("_bucket", "_at", F.explode(versions).alias("v")).select("_bucket", "_at", "v.*")
     done, turn, per_page = None, 0, _PER_PAGE
     todo = pairs
-    # a stated number of partitions is not coalesced: the rows grow many times over inside the tasks
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        tried = cut_lineage(subtract(todo.repartition(parts, "_bucket"), keys, turn, per_page))
+        # a stated number of partitions is not coalesced: the rows grow many times over inside the tasks;
+        # both pairs of a row go to one task, where what they share packs well
+        tried = cut_lineage(subtract(todo.repartition(_tasks(todo), "_bucket", "_at"), keys, turn, per_page))
         solved = tried.filter("left = 0").select(*keys, "found")
         done = solved if done is None else done.union(solved)
         failed = tried.filter("left > 0")

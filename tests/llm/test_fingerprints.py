@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from perilgrid.llm import fingerprints
 from perilgrid.llm.fingerprints import PIECES, fingerprint_documents, subtract
 
 
@@ -72,3 +73,11 @@ def test_nulls_repeats_and_empty(spark):
     assert fingerprint_documents(df.filter("doc_id > 9")).count() == 0
     one = fingerprint_documents(df.filter("text = 'one two three'")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"one two tone ").hexdigest()
+
+
+def test_tasks_grow_with_the_digests(spark, monkeypatch):
+    pairs = spark.createDataFrame([(i, list(range(30)), list(range(10 + i))) for i in range(20)], "at int, a array<bigint>, b array<bigint>")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fingerprints._tasks(pairs) == fingerprints._tasks(pairs.limit(0)) == least
+    monkeypatch.setattr(fingerprints, "_PER_TASK", 100)
+    assert fingerprints._tasks(pairs) == 10  # 990 digests
