@@ -76,11 +76,12 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Adds the piece ids; the text is the one decoded from them.
 
     A null text stays null, with null ids.  Columns named ``ids`` and ``n_pieces`` are replaced.
+    The ids are written before they are decoded: else every task would hold two Python workers at once.
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
     own = [c for c in docs.columns if c not in ("ids", "n_pieces")]
-    coded = encode_pieces(docs.select(*own), model).withColumn("n_pieces", F.size("ids"))
-    return decode_pieces(coded.drop("text"), model, text_col="text").select(*own, "n_pieces", "ids")
+    coded = encode_pieces(docs.select(*own), model, remember=60_000).withColumn("n_pieces", F.size("ids"))
+    return decode_pieces(cut_lineage(coded.drop("text")), model, text_col="text").select(*own, "n_pieces", "ids")
 
 
 STAGES = [

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perilgrid.llm.words import blocks
+from perilgrid.llm.words import blocks, with_text
 
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _KNOWN_STRETCHES = 200_000
-_BLOCK = 1 << 20
+#: Bytes of text, and stretches, that are encoded at a time; the library's results are some hundred times as large as the ids.
+_BLOCK, _AT_A_TIME = 1 << 19, 5_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _codecs: dict[tuple, object] = {}
 
@@ -89,12 +90,13 @@ class Encoder:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=spec)
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
         self.known: dict[str, bytes] = {}
+        self.remember = _KNOWN_STRETCHES
         self.repaired = 0
 
     def _learn(self, stretches: list[str]) -> None:
         cut = len(self.prefix)
-        for a in range(0, len(stretches), 20_000):
-            some = stretches[a : a + 20_000]
+        for a in range(0, len(stretches), _AT_A_TIME):
+            some = stretches[a : a + _AT_A_TIME]
             wanted = self.reference.encode([s[cut:].replace(MARK, " ") for s in some], num_threads=2)
             for s, got, want in zip(some, self.tok.encode_batch(some, add_special_tokens=False), wanted):
                 ids = got.ids
@@ -113,7 +115,7 @@ class Encoder:
         if self.whole:
             return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch(marked, add_special_tokens=False)]
         parts = [_STRETCH.findall(m) for m in marked]
-        if len(self.known) > _KNOWN_STRETCHES:
+        if len(self.known) > self.remember:
             self.known.clear()
         self._learn(list(set().union(*parts).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
@@ -168,27 +170,32 @@ def _rest(df: DataFrame, drop: tuple[str, ...]):
     return others, F.struct(F.lit(True).alias("_"), *[F.col(c) for c in others]).alias("_rest")
 
 
-def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", remember: int = _KNOWN_STRETCHES) -> DataFrame:
     """The rows of ``docs`` with ``ids``, the piece ids of the text, without begin or end.
 
+    A worker keeps the ids of about ``remember`` stretches, until its task ends.
+
     A null text has null ids and an empty one none.  Whole texts are encoded,
     however long.  Rows are independent, so nulls, repeats and ties in other
     columns mean nothing; a column that has the name ``ids_col`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
     others, rest = _rest(docs, (ids_col,))
-    source = docs.select(rest, F.col(text_col).alias("text"))
+    once = text_col in others  # a batch then holds its texts once
+    source = docs.select(rest) if once else docs.select(rest, F.col(text_col).alias("text"))
 
     def encode(batches):
         codec = _cached(Encoder, shared.value)
+        codec.remember = remember
         for batch in batches:
-            for part in blocks(batch, "text", _BLOCK):
+            for part in blocks(with_text(batch, text_col) if once else batch, "text", _BLOCK):
                 texts = part.column(1).to_pylist()
                 packed = codec.encode([t or "" for t in texts])
                 ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
                 gone = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)), mask=gone)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_rest", "ids"])
+        codec.known.clear()
 
     done = source.mapInArrow(encode, source.select("_rest").schema.add("ids", T.ArrayType(T.IntegerType())))
     return done.select(*[F.col("_rest").getField(c).alias(c) for c in others], F.col("ids").alias(ids_col))

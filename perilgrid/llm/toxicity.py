@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perilgrid.llm.words import blocks, mix, text_bytes
+from perilgrid.llm.words import blocks, mix, text_bytes, with_text
 from perilgrid.session import cut_lineage
 
 ORDERS = (3, 4, 5, 6)
@@ -227,11 +227,13 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     names = ("held_out", score_col, "predicted")
     others = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*others).alias("_row"), F.col(text_col).alias("text"))
+    row = F.struct(*others).alias("_row")
+    once = text_col in others  # a batch then holds its texts once
+    source = docs.select(row) if once else docs.select(row, F.col(text_col).alias("text"))
 
     def judge(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(with_text(batch, text_col) if once else batch, "text"):
                 scores = [shared.value.score(f) for f in gram_hashes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["_row", "s"])
 

@@ -146,3 +146,9 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         b = max(a + 1, int(np.searchsorted(size, done + limit, "right")))
         yield batch.slice(a, b - a)
         a = b
+
+
+def with_text(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """A batch's first column, a struct, and beside it as ``text`` its field ``column``, of which there is one copy."""
+    row = batch.column(0)
+    return pa.RecordBatch.from_arrays([row, row.field(column)], [batch.schema.names[0], "text"])

@@ -1,8 +1,11 @@
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
 from brute import components, dedup, lines, shingles
+from perilgrid.llm.pieces import encode_pieces
+from perilgrid.llm.toxicity import Model, score_toxicity
 from perilgrid.session import cut_lineage
 
 SF = "/root/testdata/sf0.01"
@@ -61,3 +64,19 @@ def test_odd_rows_pass_through(spark, tmp_path):
         spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "3", "None"]
+
+
+def test_one_python_worker_a_task(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 1, name
+
+
+def test_a_batch_holds_its_texts_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = score_toxicity(docs, Model(np.zeros(0, np.uint64), np.zeros(0), 0.0))
+    for out in (scored, encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = plan[next(k for k, x in enumerate(plan) if "MapInArrow" in x) + 1]
+        assert below.count("text#") == 1, below
