@@ -81,3 +81,28 @@ def test_tasks_grow_with_the_digests(spark, monkeypatch):
     assert fingerprints._tasks(pairs) == fingerprints._tasks(pairs.limit(0)) == least
     monkeypatch.setattr(fingerprints, "_PER_TASK", 100)
     assert fingerprints._tasks(pairs) == 10  # 990 digests
+
+
+def test_only_failed_pairs_are_written(spark, monkeypatch):
+    written, cut = [], fingerprints.cut_lineage
+    monkeypatch.setattr(fingerprints, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(4)
+    docs = [(i, "\n".join(f"word{rng.randrange(900)}" for _ in range(rng.choice([5, 40, 900])))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    check(df, docs)
+    held = lambda t: [c for c, kind in t.dtypes if "array<bigint>" in kind]
+    assert all(t.filter(F.col(c).isNotNull()).count() <= 20 for t in written for c in held(t))
+    monkeypatch.setattr(fingerprints, "_PER_PAGE", 4000.0)
+    written.clear()
+    check(df, docs)
+    assert len(written) > 1 and written[0].filter("_again is not null").count() > 20
+
+
+def test_one_shuffle_of_texts(spark, monkeypatch):
+    plans, cut = [], fingerprints.cut_lineage
+    monkeypatch.setattr(fingerprints, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fingerprint_documents(docs, by_content=True).count()
+    first = plans[0]
+    assert "ShuffledHashJoin" in first and "hashpartitioning(_bucket" in first and "hashpartitioning(_at" not in first
+    assert not [x for x in first.splitlines() if "Exchange" in x and "_bucket" in x and "_at" in x]
