@@ -4,8 +4,9 @@ The model protobuf is parsed and rebuilt: normaliser, metaspace marker, the piec
 with their scores (a unigram lattice, or for BPE models the merges the scores
 imply) and byte fallback.  No piece runs on past the step from a character to a
 marker, so a text falls into stretches that begin with markers; each distinct
-stretch is encoded once per worker, in multithreaded batches, and checked against
-the sentencepiece library.
+stretch is encoded once per worker, many of them in a row and in multithreaded
+batches, and checked against the sentencepiece library.  When a worker's memory of
+stretches fills up, those not met lately go.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _KNOWN_STRETCHES = 200_000
 #: Bytes of text, and stretches, that are encoded at a time; the library's results are some hundred times as large as the ids.
 _BLOCK, _AT_A_TIME = 1 << 19, 5_000
+#: Stretches that are encoded as one text; the pieces that begin with a marker tell where each starts.
+_IN_ROW = 32
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _codecs: dict[tuple, object] = {}
 
@@ -89,11 +92,34 @@ class Encoder:
         self.tok = full
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=spec)
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
+        self.begins = np.array([p.piece[:1] == MARK for p in proto.pieces])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remember = _KNOWN_STRETCHES
         self.repaired = 0
 
     def _learn(self, stretches: list[str]) -> None:
+        """Encodes stretches with both libraries, those that begin with one marker many in a row."""
+        in_row = [bool(self.prefix) and len(s) > 1 and s[0] == MARK != s[1] for s in stretches]
+        rows = [s for s, good in zip(stretches, in_row) if good]
+        alone = [s for s, good in zip(stretches, in_row) if not good]
+        rows = [rows[a : a + _IN_ROW] for a in range(0, len(rows), _IN_ROW)]
+        for a in range(0, len(rows), _AT_A_TIME // _IN_ROW):
+            some = rows[a : a + _AT_A_TIME // _IN_ROW]
+            texts = ["".join(row) for row in some]
+            wanted = self.reference.encode([t[1:].replace(MARK, " ") for t in texts], num_threads=2)
+            for row, got, want in zip(some, self.tok.encode_batch(texts, add_special_tokens=False), wanted):
+                ids = got.ids
+                packed = np.array(ids, np.int32)
+                at = np.flatnonzero(self.begins[packed])
+                if ids != want or len(at) != len(row):  # a marker is in no other place, so as many begin as there are
+                    alone += row
+                    continue
+                raw, cuts = packed.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                self.known.update(zip(row, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
+        self._learn_alone(alone)
+
+    def _learn_alone(self, stretches: list[str]) -> None:
         cut = len(self.prefix)
         for a in range(0, len(stretches), _AT_A_TIME):
             some = stretches[a : a + _AT_A_TIME]
@@ -105,6 +131,10 @@ class Encoder:
                     ids = want
                 self.known[s] = np.array(ids, np.int32).tobytes()
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.older.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""
         if self.plain:
@@ -115,9 +145,12 @@ class Encoder:
         if self.whole:
             return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch(marked, add_special_tokens=False)]
         parts = [_STRETCH.findall(m) for m in marked]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        self._learn(list(set().union(*parts).difference(self.known)))
+        if len(self.known) > self.remember // 2:
+            self.known, self.older = {}, self.known
+        new = set().union(*parts).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((s, self.older[s]) for s in again)
+        self._learn(list(new - again))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
@@ -195,7 +228,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col:
                 gone = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)), mask=gone)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_rest", "ids"])
-        codec.known.clear()
+        codec.forget()
 
     done = source.mapInArrow(encode, source.select("_rest").schema.add("ids", T.ArrayType(T.IntegerType())))
     return done.select(*[F.col("_rest").getField(c).alias(c) for c in others], F.col("ids").alias(ids_col))

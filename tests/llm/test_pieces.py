@@ -47,6 +47,41 @@ def test_differences_are_repaired():
     assert codec.repaired == 0
 
 
+class Counted:
+    def __init__(self, library):
+        self.library, self.given = library, []
+
+    def encode(self, texts, **more):
+        self.given += texts
+        return self.library.encode(texts, **more)
+
+
+def test_stretches_are_checked_in_rows_and_remembered():
+    sp, codec = reference(), Encoder(open(MODEL, "rb").read())
+    codec.reference, codec.remember = Counted(sp), 1_000
+    often = " ".join(f"often{i}" for i in range(50))
+    texts = [often + " " + " ".join(f"word{k}x{i}" for i in range(200)) for k in range(20)] + TEXTS[2:]
+    for t in texts:
+        assert codec.encode([t]) == [np.array(sp.encode(t), np.int32).tobytes()]
+    assert len(codec.known) + len(codec.older) <= 1_000 + 250 and not codec.repaired
+    words = [w for t in codec.reference.given for w in t.split(" ")]
+    assert words.count("often7") == 1 and len(codec.reference.given) < 400
+
+
+def test_differences_between_the_libraries_in_a_row_are_repaired():
+    sp, codec = reference(), Encoder(open(MODEL, "rb").read())
+    low, high = Counted(sp), codec.tok
+    codec.reference = low
+
+    class Wrong:
+        def encode_batch(self, texts, **more):
+            return high.encode_batch([t.replace("banana", "bananas") for t in texts], **more)
+
+    codec.tok = Wrong()
+    text = "a banana and an apple"
+    assert codec.encode([text]) == [np.array(sp.encode(text), np.int32).tobytes()] and codec.repaired == 1
+
+
 def test_bytes_that_are_no_text():
     spec, sp = open(MODEL, "rb").read(), reference()
     lists = [[sp.piece_to_id("<0xC3>"), sp.piece_to_id("▁a")], [], [sp.piece_to_id("▁a"), 1, 2, 0]]
