@@ -8,7 +8,9 @@ sets.  Only exact conditions decide, so no link is lost.
 Copies are one node (the hash of the set), and groups of near copies are not
 expanded: a first round links each node with one leader, a second one with the few
 nodes of other components that it shares most keys with, and only pairs that lie
-in different components even then are compared one by one.
+in different components even then are compared one by one.  Keys of many nodes are
+not joined with themselves: there only nodes meet that share a rare shingle of
+those by which each differs from the key's leader.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ _BLOCK = 4 << 20
 #: Sets that a task remembers, so as not to sketch copies again.
 _COPIES = 50_000
 _CLOSEST = 3
+#: Keys of more nodes than this are not expanded into pairs.
+_CROWDED = 63
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -108,7 +112,7 @@ def _members(sketched: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame,
     rows = rows.select("node", "n", "hash", "sketch", "wide", "keys")
     kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
     nodes = cut_lineage(rows.mapInArrow(keep, kinds).dropDuplicates(["node"]))
-    member = nodes.select("node", F.explode("keys").alias("key"))
+    member = nodes.select("node", "n", F.explode("keys").alias("key"))
     common = member.groupBy("key").count().filter("count > 1")
     sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(_PARTS)]
     wide = nodes.filter("wide is not null").select("node", "n", "wide")
@@ -133,24 +137,79 @@ def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(member: DataFrame, nodes: DataFrame, wide: DataFrame) -> DataFrame:
-    """For each node the leader, the least member of a key, that it shares most keys with."""
-    leaders = member.groupBy("key").agg(F.min("node").alias("a"))
-    met = member.join(leaders, "key").filter("node != a")
-    pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    """For each node the leader, the least member of a key, that it shares most keys with, two at least."""
+    leaders = member.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"))
+    met = member.join(leaders, "key").select("least.node", "least.n", F.col("node").alias("b"), F.col("n").alias("nb")).filter("node != b")
+    met = met.filter(4 * F.least("n", "nb") >= 3 * F.greatest("n", "nb"))
+    pairs = met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     close = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")).filter(_may_link("x", "y"))
     close = _near(close.select("a", "b", "times"), wide)
     return close.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b")
 
 
-def _cross_pairs(member: DataFrame, nodes: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key and lie in different components, within the bounds, and how many they share."""
+def _split_keys(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``n``, ``root`` of keys that lie in several components, and how ``many`` nodes the key has."""
     rooted = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    left = rooted.join(split.select("key"), "key").join(nodes, "node")
-    x, y = left.alias("x"), left.alias("y")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"))
+    return rooted.join(split.filter("low != high").select("key", "many"), "key")
+
+
+def _crowds(crowded: DataFrame) -> DataFrame:
+    """``a``, ``node``, ``root``: the nodes of each key with its leader, which is the one with most keys, so that few lead."""
+    most = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
+    leaders = crowded.join(most, "node").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"))
+    return crowded.join(leaders, "key").select(F.col("most.node").alias("a"), "node", "root").distinct()
+
+
+def _cross_pairs(split: DataFrame, nodes: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs of nodes that share two keys and lie in different components, within the bounds, and how many they share."""
+    x, y = split.alias("x"), split.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    met = x.join(y, meet & _may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return _near(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), wide)
+    fits = 4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")
+    met = x.join(y, meet & fits).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    met = met.filter("times > 1").join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+    return _near(met.filter(_may_link("x", "y")).select("a", "b", "times"), wide)
+
+
+def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same of ``a``, ``node``, ``root`` rows, nodes that share a crowded key with its leader ``a``: no pair in reach of a link is left out.
+
+    Let ``d`` be the number of shingles that a node's set and the leader's do not share.
+    Nodes that link with the leader need no other link between them.  Of two others, with
+    ``x`` not linked to it, the sets differ in ``dx + dy`` shingles less two for each that both
+    differ in from the leader, so similar ones share at least ``(7 (dx + dy) - nx - ny) / 14``
+    of these, and that is more than 0.  Put in one order, rarest first, the first one shared has
+    at least as many places left in either list; copies that were changed at random share none so early.
+    """
+    sets = _sets(crowd.select("node").union(crowd.select("a")).distinct(), nodes, texts)
+    lead = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    rows = crowd.filter("a != node").join(sets, "node").join(lead, "a")
+    apart = F.concat(F.array_except("shingles", "of_a"), F.array_except("of_a", "shingles"))
+    rows = rows.select("a", "node", "root", F.size("shingles").alias("n"), F.size("of_a").alias("na"), apart.alias("apart"))
+    rows = cut_lineage(rows.withColumn("d", F.size("apart")).withColumn("outer", 7 * F.col("d") > F.col("n") + F.col("na")))
+    each = rows.select("a", "node", "root", "n", "na", "d", "outer", F.explode("apart").alias("h"))
+    often = each.groupBy("a", "h").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("a", "node").orderBy("times", "h")
+    left = F.col("d") - F.row_number().over(order) + 1
+    placed = cut_lineage(each.join(often, ["a", "h"]).withColumn("left", left).filter("times > 1 and 14 * left >= 7 * d - n - na").drop("times"))
+    x, y = placed.filter("outer").alias("x"), placed.filter("14 * left > 7 * d - n + na").alias("y")
+    need = 7 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")
+    meet = (F.col("x.a") == F.col("y.a")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
+    once = ~F.col("y.outer") | (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, meet & once & (14 * F.least("x.left", "y.left") >= need))
+    met = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    led = rows.filter("not outer").select("a", F.col("node").alias("b"), F.lit(1).cast("bigint").alias("times"))
+    pairs = cut_lineage(met.union(led))
+    release(sets, rows, placed)
+    return pairs
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that lie in different components."""
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    both = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
@@ -160,9 +219,8 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= _CLOSEST).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(ends: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node`` and ``shingles``, the whole set, of the nodes in ``ends``."""
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ends.join(nodes, "node"), "hash", 24))
 
     def take(batches):
@@ -175,7 +233,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
                     [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], _LONGS)], ["node", "shingles"]
                 )
 
-    sets = cut_lineage(texts.mapInArrow(take, "node bigint, shingles array<bigint>").join(ends, "node").dropDuplicates(["node"]))
+    return cut_lineage(texts.mapInArrow(take, "node bigint, shingles array<bigint>").join(ends, "node").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, texts)
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -202,9 +265,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table, nodes, wide, member = _members(sketched)
     pairs = cut_lineage(_leader_pairs(member, nodes, wide))
     links, tried = _verified(pairs, nodes, texts), pairs
-    roots, done = components(links), [table, member, pairs, links]
+    roots = components(links)
+    split = cut_lineage(_split_keys(member, roots))
+    crowded = F.col("many") > _CROWDED
+    crowd = cut_lineage(_crowds(split.filter(crowded)))
+    led = _crowd_pairs(crowd, nodes, texts)
+    met = _cross_pairs(split.filter(~crowded).drop("many"), nodes, wide).union(led)
+    met = cut_lineage(_apart(met.groupBy("a", "b").agg(F.sum("times").alias("times")), roots))
+    release(split, crowd, led, member)
+    done = [table, pairs, links, met]
     for closest_only in (True, False):
-        apart = _cross_pairs(member, nodes, wide, roots)
+        apart = _apart(met, roots)
         pairs = (_closest(apart) if closest_only else apart.select("a", "b")).join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         new = _verified(pairs, nodes, texts)

@@ -5,7 +5,7 @@ that two sketches differ in are at most the shingles their sets differ in, and f
 Jaccard similarity of 3/4 or more that is at most a seventh of the sizes' sum.
 The sketch is cut into more parts than that, by the leading bits of the hash, so
 similar sets agree on all but that many parts.  Put in one common order, the first
-``differences + 1`` parts of either set then contain one that both share.
+``differences + 2`` parts of either set then contain two that both share.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def size_bands(n: int) -> list[int]:
 
 
 def band_keys(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Keys of a set of sorted distinct hashes; similar sets share at least one.
+    """Keys of a set of sorted distinct hashes; similar sets share at least two.
 
     A part's value is the XOR of its shingles' codes.  The common order puts
     parts with more shingles that are not ``hot`` (a bitmap of frequent ones)
@@ -47,7 +47,7 @@ def band_keys(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     n = len(shingles)
     if not n:
         return np.zeros(0, np.uint64)
-    want = most_differences(n) + 1
+    want = most_differences(n) + 2
     codes = mix(shingles)
     cold = ~maybe(hot, shingles)
     out = []

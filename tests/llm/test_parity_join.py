@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from brute import components, shingles
+from perilgrid.llm import parity_join
 from perilgrid.llm.bits import maybe
 from perilgrid.llm.components import components as spark_components
 from perilgrid.llm.parity_join import similar_texts
@@ -60,6 +61,17 @@ def test_similar_sets_share_a_key():
             assert int(np.bitwise_count(folded(a) ^ folded(b)).sum()) <= apart
 
 
+def test_similar_sets_share_two_keys():
+    values = np.random.Generator(np.random.PCG64(7))
+    for n in [1, 2, 3, 4, 7, 12, 15, 16, 60, 64, 65, 260, 1100] * 20:
+        base = values.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        cut = int(values.integers(0, n // 4 + 1))
+        a, b = np.unique(base[:n]), np.unique(base[cut : n + int(values.integers(0, cut + 1))])
+        if 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+            hot = [np.zeros(4, np.uint64), np.full(4, 2**64 - 1, np.uint64), values.integers(0, 2**63, 4, dtype=np.uint64)][n % 3]
+            assert np.intersect1d(band_keys(a, hot), band_keys(b, hot)).size >= 2
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_brute_force(spark, seed):
     docs = variants(random.Random(seed))
@@ -76,6 +88,40 @@ def test_chain_of_links(spark):
     assert got == brute(docs) and {c for _, c in got.values()} == {31}
 
 
+def crowd(rng, n, far):
+    """Changed copies of one text of 400 words; ``far`` of them too much changed to link with it, of which some are changed once more."""
+    vocab = [f"w{i}" for i in range(2000)]
+    base = rng.choices(vocab, k=400)
+
+    def changed(words, times):
+        words = list(words)
+        for k in rng.sample(range(len(words)), times):
+            words[k] = rng.choice(vocab) if rng.random() < 0.7 else words[k] + " " + rng.choice(vocab)
+        return " ".join(words).split()
+
+    out = [changed(base, rng.randrange(1, 9)) for _ in range(n - far)] + [changed(base, rng.randrange(16, 24)) for _ in range(far)]
+    out += [changed(rng.choice(out[-far:]), rng.randrange(1, 11)) for _ in range(far // 4)]
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("crowded", [1, 8, 63])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, crowded):
+    monkeypatch.setattr(parity_join, "_CROWDED", crowded)
+    rng = random.Random(crowded)
+    docs = list(enumerate(crowd(rng, 150, 60) + [t for _, t in variants(rng, 10)]))
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_texts(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    assert got == brute(docs)
+
+
+def test_crowded_keys_are_not_expanded_into_pairs(spark, monkeypatch):
+    made, apart = [], parity_join._apart
+    monkeypatch.setattr(parity_join, "_apart", lambda pairs, roots: made.append(pairs.count()) or apart(pairs, roots))
+    texts = crowd(random.Random(5), 300, 150)
+    similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert made[0] < 30 * len(texts)
+
+
 def test_nulls_repeats_and_empty(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(None, t), (7, t), (7, t), (7, "other words"), (None, "alone here"), (None, None)], "doc_id bigint, text string")
