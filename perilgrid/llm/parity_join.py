@@ -155,10 +155,24 @@ def _split_keys(member: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _crowds(crowded: DataFrame) -> DataFrame:
-    """``a``, ``node``, ``root``: the nodes of each key with its leader, which is the one with most keys, so that few lead."""
+    """``a``, ``node``, ``root``: the nodes of each key with its leader, which need not have the key itself.
+
+    A key's first leader is the one of its nodes with most keys.  Near copies of one text are
+    led by several of these, as each leaves out the keys of the parts it has changed; so that a
+    node is compared with few, a key takes the leader that most of its nodes would choose, and
+    a node chooses the one that leads most nodes.
+    """
     most = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
-    leaders = crowded.join(most, "node").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"))
-    return crowded.join(leaders, "key").select(F.col("most.node").alias("a"), "node", "root").distinct()
+    first = crowded.join(most, "node").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"))
+    first = cut_lineage(first.select("key", F.col("most.node").alias("a")))
+    led = crowded.join(first, "key").select("a", "node").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("nodes"))
+    offered = crowded.join(first.join(led, "a"), "key")
+    chosen = offered.groupBy("node").agg(F.max(F.struct("nodes", "a")).alias("best"))
+    votes = crowded.join(chosen, "node").groupBy("key", F.col("best.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
+    leaders = votes.groupBy("key").agg(F.max(F.struct("votes", "a")).alias("most"))
+    crowd = cut_lineage(crowded.join(leaders, "key").select(F.col("most.a").alias("a"), "node", "root").distinct())
+    release(first)
+    return crowd
 
 
 def _cross_pairs(split: DataFrame, nodes: DataFrame, wide: DataFrame) -> DataFrame:
@@ -172,7 +186,7 @@ def _cross_pairs(split: DataFrame, nodes: DataFrame, wide: DataFrame) -> DataFra
 
 
 def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The same of ``a``, ``node``, ``root`` rows, nodes that share a crowded key with its leader ``a``: no pair in reach of a link is left out.
+    """The same of ``a``, ``node``, ``root`` rows, nodes that share a crowded key, with the key's leader ``a``: no pair in reach of a link is left out.
 
     Let ``d`` be the number of shingles that a node's set and the leader's do not share.
     Nodes that link with the leader need no other link between them.  Of two others, with
@@ -180,6 +194,8 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
     differ in from the leader, so similar ones share at least ``(7 (dx + dy) - nx - ny) / 14``
     of these, and that is more than 0.  Put in one order, rarest first, the first one shared has
     at least as many places left in either list; copies that were changed at random share none so early.
+    Whatever ``y`` is, ``dy`` is no less than what is shared and than ``|ny - na|``, so ``x`` shares at
+    least ``(7 dx - nx - na) / 8`` with it.
     """
     sets = _sets(crowd.select("node").union(crowd.select("a")).distinct(), nodes, texts)
     lead = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
@@ -191,7 +207,8 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
     often = each.groupBy("a", "h").agg(F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("a", "node").orderBy("times", "h")
     left = F.col("d") - F.row_number().over(order) + 1
-    placed = cut_lineage(each.join(often, ["a", "h"]).withColumn("left", left).filter("times > 1 and 14 * left >= 7 * d - n - na").drop("times"))
+    early = "if(outer, 8 * left >= 7 * d - n - na, 14 * left > 7 * d - n + na)"
+    placed = cut_lineage(each.join(often, ["a", "h"]).withColumn("left", left).filter("times > 1").filter(early).drop("times"))
     x, y = placed.filter("outer").alias("x"), placed.filter("14 * left > 7 * d - n + na").alias("y")
     need = 7 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")
     meet = (F.col("x.a") == F.col("y.a")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
@@ -268,7 +285,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
     split = cut_lineage(_split_keys(member, roots))
     crowded = F.col("many") > _CROWDED
-    crowd = cut_lineage(_crowds(split.filter(crowded)))
+    crowd = _crowds(split.filter(crowded))
     led = _crowd_pairs(crowd, nodes, texts)
     met = _cross_pairs(split.filter(~crowded).drop("many"), nodes, wide).union(led)
     met = cut_lineage(_apart(met.groupBy("a", "b").agg(F.sum("times").alias("times")), roots))

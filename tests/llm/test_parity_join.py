@@ -122,6 +122,31 @@ def test_crowded_keys_are_not_expanded_into_pairs(spark, monkeypatch):
     assert made[0] < 30 * len(texts)
 
 
+def test_near_copies_have_one_leader(spark):
+    has = {k: {n for n in range(20) if k not in (n, (n + 1) % 20)} for k in range(20)} | {k: set(range(30, 40)) for k in (50, 51)}
+    rows = [(k, n, 200, n % 3, len(ns)) for k, ns in has.items() for n in ns]
+    crowd = parity_join._crowds(spark.createDataFrame(rows, "key bigint, node bigint, n bigint, root bigint, many bigint")).collect()
+    assert sorted((r.node, r.root) for r in crowd) == [(n, n % 3) for n in [*range(20), *range(30, 40)]]
+    led = {a: {r.node for r in crowd if r.a == a} for a in {r.a for r in crowd}}
+    assert all(any(ns <= nodes for nodes in led.values()) for ns in has.values())
+
+
+def test_places_left_of_a_node_far_from_the_leader():
+    rng = random.Random(4)
+    tight = 0
+    for _ in range(20_000):
+        n = rng.choice([4, 12, 30])
+        part = [rng.randrange(n // 4 + 1) for _ in range(7)]
+        part[rng.randrange(7)] += n
+        a, x, y = ({i for k in range(7) if (k + 1) >> which & 1 for i in range(100 * k, 100 * k + part[k])} for which in range(3))
+        if a and similar(x, y) and not similar(x, a):
+            both, outer = len((x ^ a) & (y ^ a)), 7 * len(x ^ a) - len(x) - len(a)
+            assert 8 * both >= outer > 0 and 14 * both >= 7 * len(x ^ a) + 7 * len(y ^ a) - len(x) - len(y)
+            assert 14 * both > 7 * len(y ^ a) - len(y) + len(a)
+            tight += 1
+    assert tight > 500
+
+
 def test_nulls_repeats_and_empty(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(None, t), (7, t), (7, t), (7, "other words"), (None, "alone here"), (None, None)], "doc_id bigint, text string")
