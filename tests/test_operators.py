@@ -601,3 +601,45 @@ def test_outcomes_are_looked_up_without_moving_the_sends(spark):
     plan = alerts.alert_records(p.withColumns({"disaster_type": F.lit("flood"), "time_to_impact_h": F.lit(1.0)}), users, tries, F.current_timestamp())
     top = plan._jdf.queryExecution().executedPlan().toString().split("Join ")[1].split("\n")[0]
     assert "region_id" in top and "user_id" not in top
+
+
+def test_outcomes_shuffle_little_more_than_what_they_read(spark):
+    users = spark.range(640).selectExpr("id as user_id", "array('big') as region_ids", "'en' as language_code", "concat('+', id) as phone_number", "'t' as push_token", "array('sms') as notification_channels")
+    p = spark.range(160).selectExpr("id as prediction_id", "'big' as region_id", "'High' as risk_level")
+    tries = spark.range(160).selectExpr("id as prediction_id", "id * 3 as user_id", "'sms' as channel", "'sms' as transport", "0 as attempt", "id % 4 <> 0 as ok")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+
+    def moved(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return (metric.get().value() if metric.isDefined() else 0) + sum(map(moved, children))
+
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        out = alerts.delivered(p, users, tries)
+        got = out.collect()
+        rows_moved = moved(out._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 640 * 160 and {(r.prediction_id, r.user_id) for r in got if r.delivery_status == "sent"} == {(i, 3 * i) for i in range(160) if i % 4}
+    assert 0 < rows_moved < 6 * (640 + 160 + 160)
+
+
+def test_outcomes_over_many_blocks_of_seats_and_predictions(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "SEATS_PER_BLOCK", 8)
+    monkeypatch.setattr(alerts, "PREDICTIONS_PER_BLOCK", 4)
+    users = [(i, [f"r{i % 3}", "r0"], "en", f"+{i}" if i % 3 else None, "t" if i % 5 else None, ["sms", "push", "voice"]) for i in range(60)]
+    users += [(5, ["r2"], "fr", "+5", "t", ["sms"]), (None, ["r0"], "en", "+", "t", ["push", None])]
+    users = spark.createDataFrame(users, "user_id bigint, region_ids array<string>, language_code string, phone_number string, push_token string, notification_channels array<string>")
+    p = [(i, f"r{i % 2}", "High") for i in range(50)] + [(4, "r0", "Medium"), (4, "r2", "High"), (None, "r1", "High"), (60, None, "High"), (61, "r1", "Low")]
+    p = spark.createDataFrame(p, "prediction_id int, region_id string, risk_level string")
+    tries = [(n, u, c, t, k, (u * 7 + n + k) % 4 == 0) for n in range(0, 64, 2) for u in range(0, 70, 3) for c in ("sms", "push", "voice") for t, k in ((c, 0), ("sms", 1), ("sms", 3))]
+    tries = spark.createDataFrame([*tries, (None, 3, "sms", "sms", 0, True), (1, None, "push", "push", 0, True)], "prediction_id bigint, user_id int, channel string, transport string, attempt int, ok boolean")
+    names = ["prediction_id", "region_id", "risk_level", "user_id", "channel", "language_code", "phone_number", "delivery_status", "retry_count", "sent_channel"]
+    cut = lambda df: sorted(map(str, df.select(*names).collect()))
+    got = cut(alerts.delivered(p, users, tries))
+    assert got == cut(alerts.delivery_outcomes(alerts.sends(p, users), tries))
+    assert len(got) > 2000 and sum("'sent'" in r for r in got) > 80
